@@ -45,18 +45,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, tilts=TILTS, most: int = MOST) ->
 
 
 def mixed(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, position, copies.
+    """One row per document: doc_id, size, source_size, target, taken, position, copies, parts.
 
     ``size`` counts words, 0 for a null text. A source's documents stand in the order of the md5 of their id;
     the mix reads that order again and again until floor(target) words are taken, so the source's sum of
     ``taken`` is floor(target), at most one document per source is taken in part, and none exceeds
     ``most`` times its size. ``copies`` is the number of times that the document occurs, the last of them perhaps
-    in part; ``position`` is the training time of its first occurrence, null if it is not taken.
+    in part; ``position`` is the training time of its first occurrence, null if it is not taken; ``parts`` has words and position of each.
 
     The running sum over a source is taken in 4096 buckets of that order: sums of buckets first, then a window inside
     each bucket, so a source that holds a third of all rows is not one task. Null sources are one source, the last.
-    Rows that share a doc_id are separate documents. An empty table gives no rows. ``keep`` names input
-    columns to carry along.
+    Rows that share a doc_id are separate documents. An empty table gives no rows. With ``keep``, names
+    of input columns, the result has these columns and parts alone.
     """
     keep = keep or []
     d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
@@ -69,19 +69,38 @@ def mixed(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, most: int = MOST, keep:
     d = d.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     d = d.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))).drop(F.col("s.source"), F.col("s.bucket"))
     at, quota = F.col("before") + F.col("within"), F.floor("target")
-    passes = [F.greatest(F.lit(0), F.least(F.col("size"), quota - p * F.col("source_size") - at)) for p in range(most)]
-    share = at / F.greatest(F.col("target"), F.lit(1e-9))
     a = F.col("tilt")
-    time = F.when(a == 0, share).otherwise(((1 + a) - F.sqrt(F.greatest((1 + a) * (1 + a) - 4 * a * share, F.lit(0.0)))) / (2 * F.when(a == 0, 1.0).otherwise(a)))
-    taken = sum(passes[1:], passes[0])
-    copies = sum((F.when(p > 0, 1).otherwise(0) for p in passes[1:]), F.when(passes[0] > 0, 1).otherwise(0))
-    out = d.select("doc_id", *(F.col(f"_keep_{c}").alias(c) for c in keep), "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(passes[0] > 0, F.round(time, 9)).alias("position"), copies.cast("int").alias("copies"))
-    return out
+
+    def time(share):
+        root = F.sqrt(F.greatest((1 + a) * (1 + a) - 4 * a * share, F.lit(0.0)))
+        return F.round(F.when(a == 0, share).otherwise(((1 + a) - root) / (2 * F.when(a == 0, 1.0).otherwise(a))), 9)
+
+    def part(p):
+        start = p * F.col("source_size") + at
+        words = F.greatest(F.lit(0), F.least(F.col("size"), quota - start)).cast("long")
+        return F.struct(words.alias("words"), time(start / F.greatest(F.col("target"), F.lit(1e-9))).alias("position"))
+
+    d = d.withColumn("parts", F.filter(F.array(*(part(p) for p in range(most))), lambda x: x["words"] > 0))
+    taken = F.aggregate("parts", F.lit(0).cast("long"), lambda t, x: t + x["words"])
+    kept = [F.col(f"_keep_{c}").alias(c) for c in keep]
+    return d.select("doc_id", *kept, F.col("size").alias("size"), "source_size", "target", taken.alias("taken"), F.get("parts", F.lit(0))["position"].alias("position"), F.size("parts").alias("copies"), "parts") if not keep else d.select(*kept, "parts")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``mixed`` in training order: range-sorted by position, documents that are not taken last."""
-    return mixed(docs, **options).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    return mixed(docs, **options).drop("parts").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix in training order, a row for each time that one occurs, with the columns of ``docs``.
+
+    A document that the mix takes in part is cut after its last word taken.
+    """
+    size = word_count(F.col("text"))
+    rows = mixed(docs, keep=docs.columns, **options).select("*", F.explode("parts").alias("part"))
+    chunks = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
+    text = F.when(F.col("part.words") < size, F.array_join(F.slice(chunks, 1, F.col("part.words").cast("int")), "")).otherwise(F.col("text"))
+    return rows.withColumn("text", text).orderBy(F.col("part.position"), "doc_id").select(docs.columns)
 
 
 #: The same rows in SQL.
