@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrel.llm import fingerprints, jaccard, licenses, linededup, media, mixing, packing, quality
+from carrel.llm import fingerprints, jaccard, langid, licenses, linededup, media, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,9 +51,14 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(_table(spark, sf_dir, "pages"), docs, langid.train(docs))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_media, op4_jaccard, op6_licenses, op7_linededup, op8_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_media, op4_jaccard, op6_licenses, op7_linededup, op8_mixing, op9_langid, op10_packing)}
 ORACLE = {"op4_jaccard": jaccard.ORACLE, "op6_licenses": licenses.ORACLE, "op7_linededup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
