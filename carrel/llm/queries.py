@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carrel.llm import fingerprints, jaccard, langid, licenses, linededup, media, mixing, packing, quality
+from carrel.llm import fingerprints, html, jaccard, langid, licenses, linededup, media, mixing, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -60,5 +64,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_media, op4_jaccard, op6_licenses, op7_linededup, op8_mixing, op9_langid, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_quality, op3_media, op4_jaccard, op5_html, op6_licenses, op7_linededup, op8_mixing, op9_langid, op10_packing)}
 ORACLE = {"op4_jaccard": jaccard.ORACLE, "op6_licenses": licenses.ORACLE, "op7_linededup": linededup.ORACLE, "op8_mixing": mixing.ORACLE}
