@@ -10,7 +10,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-_VALUE = np.random.default_rng(77_003).integers(1, 2**64 - 1, 256, dtype=np.uint64)
+_VALUE = np.random.default_rng(77_003).integers(1, 2**64 - 1, 256, dtype=np.uint64)[_LOWER]
 _STEP = 0xD6E8FEB86659FD93
 _BACK = pow(_STEP, -1, 2**64)
 SEGMENT = 1 << 20
@@ -43,6 +43,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values; sorts ``values`` in place."""
+    values.sort()
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def _segments(data: np.ndarray) -> Iterator[np.ndarray]:
     """Pieces of about a megabyte, cut at white space; a longer word stays whole."""
     at = 0
@@ -73,7 +79,7 @@ def word_hashes(text: str | None) -> np.ndarray:
         start, end = bounds[0::2], bounds[1::2]
         sums = np.empty(len(data) + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_VALUE[_LOWER[data]] * _power(_STEP, len(data)), out=sums[1:])
+        np.cumsum(_VALUE[data] * _power(_STEP, len(data)), out=sums[1:])
         out.append(mix((sums[end] - sums[start]) * _power(_BACK, len(data))[start]))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -87,4 +93,4 @@ def shingle_hashes(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
     for i in range(n):
         h = (h + words[i : len(words) - n + 1 + i]) * np.uint64(0x9FB21C651E98DF25)
         h ^= h >> np.uint64(32)
-    return np.unique(mix(h + np.uint64(n)))
+    return distinct(mix(h + np.uint64(n)))
