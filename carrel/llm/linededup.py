@@ -15,45 +15,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carrel.llm.common import stored
+
 LEAD, WIDE, ALIKE = 3, 8, 0.7
 LONG, FEW, MANY = 12, 2, 10
-_S = r"\x20\x09-\x0D"
-_FIELD = rf"(^|[{_S}])[^{_S}0-9]*+[0-9][^{_S}]*+"
+#: Leaves up to this many are broadcast to pick lines; beyond it the lines are joined.
+BROADCAST_LEAVES = 1 << 20
 
 
-def _masked(text: Column) -> Column:
-    """The text with variable fields as <*>, white space but line feeds as one blank; line by line as many lines as before."""
-    t = F.regexp_replace(text, _FIELD, "$1<*>")
-    return F.split(F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " "), "\n", -1)
+def _masked(line: Column) -> Column:
+    """The line with words that hold a digit as <*>. Words are parted by blanks."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(^| )[^ 0-9]*+[0-9][^ ]*+", "$1<*>")).otherwise(line)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """A row per non-empty line: doc_id, line (masked), n (its words), h (hash of the line), leaf."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_masked(F.col("text").cast("string"))).alias("line"))
-    d = d.select("doc_id", F.trim("line").alias("line")).where("line <> ''")
-    lead = F.substring_index("line", " ", LEAD)
-    n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
-    return d.select("doc_id", "line", n.alias("n"), F.xxhash64("line").alias("h"), F.xxhash64(n, lead).alias("leaf"))
+def _lines(docs: DataFrame, *more: Column) -> DataFrame:
+    """A row per line that is not blank: pos, line (trimmed), n (its words) and leaf, after the columns ``more``."""
+    d = docs.select(*more, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    return d.withColumn("n", n).withColumn("leaf", F.xxhash64("n", _masked(F.substring_index("line", " ", LEAD))))
 
 
 def _recurring(docs_of: Column, n: Column) -> Column:
     return docs_of >= F.when(n >= LONG, FEW).otherwise(MANY)
 
 
-def templates(docs: DataFrame) -> DataFrame:
-    """h (hash of a masked line) and template (null: the line itself) of all lines that recur."""
-    seen = _lines(docs).groupBy("doc_id", "h").agg(F.min("n").alias("n"), F.min("leaf").alias("leaf"))
-    lines = seen.groupBy("h").agg(F.min("n").alias("n"), F.min("leaf").alias("leaf"), F.count("*").alias("docs"))
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc_id, th (hash of the text), pos, n, leaf and h (hash of the masked line) of each line, written to the shared folder."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return stored(_lines(d, F.col("doc_id"), F.col("th")).select("doc_id", "th", "pos", "n", "leaf", F.xxhash64(_masked(F.col("line"))).alias("h")), "lines")
+
+
+def templates(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """h (hash of a masked line) and template (null: the line itself) of all lines that recur. ``table``: ``line_table(docs)``."""
+    seen = table.groupBy("doc_id", "h").agg(F.min("n").alias("n"), F.min("leaf").alias("leaf"))
+    lines = stored(seen.groupBy("h").agg(F.min("n").alias("n"), F.min("leaf").alias("leaf"), F.count("*").alias("docs")), "distinct-lines")
     single = lines.where(_recurring(F.col("docs"), F.col("n"))).select("h", F.lit(None).cast("long").alias("template"))
-    wide = lines.where(F.col("n") >= WIDE).groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf")
-    kinds = _lines(docs).where(F.col("n") >= WIDE).join(wide, "leaf").groupBy("leaf", "h").agg(F.min("line").alias("line"), F.min("n").alias("n"))
-    words = kinds.select("leaf", "h", "n", F.split("line", " ").alias("words"))
+    wide = stored(lines.where(F.col("n") >= WIDE).groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf"), "leaves")
+    picked = F.broadcast(wide) if wide.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else wide
+    kinds = _lines(docs).where(F.col("n") >= WIDE).join(picked, "leaf", "left_semi").select("leaf", "n", _masked(F.col("line")).alias("line"))
+    kinds = stored(kinds.groupBy("leaf", F.xxhash64("line").alias("h")).agg(F.min("line").alias("line"), F.min("n").alias("n")), "kinds")
+    words = kinds.select("leaf", "h", "n", F.split("line", " ", -1).alias("words"))
     at = words.select("leaf", F.posexplode("words").alias("pos", "word")).groupBy("leaf", "pos", "word").agg(F.count("*").alias("c"))
     modal = at.groupBy("leaf", "pos").agg(F.max(F.struct("c", "word"))["word"].alias("word"))
     model = modal.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("model"))
     alike = F.aggregate(F.zip_with("words", "model", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    fits = words.join(model, "leaf").where(alike >= F.ceil(F.lit(ALIKE) * F.col("n"))).select("h", F.col("leaf").alias("template"), "n")
-    held = seen.select("doc_id", "h").join(fits, "h").select("doc_id", "template", "n").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("n").alias("n"))
+    fits = stored(words.join(model, "leaf").where(alike >= F.ceil(F.lit(ALIKE) * F.col("n"))).select("h", F.col("leaf").alias("template"), "n"), "fits")
+    held = table.select("doc_id", "h").join(fits, "h").select("doc_id", "template", "n").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("n").alias("n"))
     merged = held.where(_recurring(F.col("docs"), F.col("n"))).select("template")
     return single.unionByName(fits.select("h", "template").join(merged, "template", "left_semi").select("h", "template"))
 
@@ -61,32 +68,31 @@ def templates(docs: DataFrame) -> DataFrame:
 def without_recurring(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``; ``text`` without recurring lines; added: n_lines, n_dropped.
 
-    A line without words stays. A null or empty text stays as it is, with 0 dropped. Rows that share a doc_id are one document when
+    A blank line stays. A null or empty text stays as it is, with 0 dropped. Rows that share a doc_id are one document when
     documents are counted, and each is cleaned. Rows with a null doc_id are one document, too. Clashing columns
     n_lines and n_dropped of the input are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    hits = _lines(docs).select("doc_id", "h").distinct().join(templates(docs).select("h").distinct(), "h")
-    dropped = hits.groupBy("doc_id").agg(F.collect_set("h").alias("_h")).withColumnRenamed("doc_id", "_id")
+    table = line_table(docs)
+    hit = stored(templates(docs, table).select("h").distinct(), "recurring").withColumn("hit", F.lit(True))
+    by_text = table.join(hit, "h", "left").groupBy("doc_id", "th").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("hit"), F.col("n"))).alias("words"), F.collect_set(F.when(F.col("hit"), F.col("pos"))).alias("_drop"))
+    drop = by_text.where(2 * F.col("words") < F.col("total")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_drop")
     text = F.col("text").cast("string")
-    d = docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
-    lines = F.arrays_zip(F.split(text, "\n", -1).alias("raw"), _masked(text).alias("masked"))
-    pick = F.transform(lines, lambda x: F.struct(x["raw"].alias("raw"), (F.length(F.trim(x["masked"])) > 0).alias("any"), F.coalesce(F.array_contains(F.col("_h"), F.xxhash64(F.trim(x["masked"]))), F.lit(False)).alias("hit"), F.regexp_count(x["raw"], F.lit(rf"[^{_S}]+")).alias("n")))
-    d = d.withColumn("_l", F.when(F.col("_h").isNotNull(), pick))
-    total = lambda keep: F.aggregate(F.filter("_l", keep), F.lit(0), lambda s, x: s + x["n"])
-    hit = lambda x: x["hit"] & x["any"]
-    d = d.withColumn("_drop", F.coalesce(2 * total(hit) < total(lambda x: F.lit(True)), F.lit(False)))
-    cleaned = F.array_join(F.transform(F.filter("_l", lambda x: ~hit(x)), lambda x: x["raw"]), "\n")
-    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.translate(text, "\n", "")) + 1)
-    out = [F.when(F.col("_drop"), cleaned).otherwise(text).alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return d.select(*out, n_lines.cast("int").alias("n_lines"), F.when(F.col("_drop"), F.size(F.filter("_l", hit))).otherwise(0).alias("n_dropped"))
+    d = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
+    lines = F.split(text, "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    out = [F.when(F.col("_drop").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    return d.select(*out, n_lines.cast("int").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"))
 
 
 #: The same rows in SQL.
 ORACLE = rf"""
-WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS raws, string_split(regexp_replace(regexp_replace(text, '(^|[{_S}])[^{_S}0-9]*[0-9][^{_S}]*', '\1<*>', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)) AS masks FROM documents),
-l AS (SELECT doc_id, unnest(raws) AS raw, trim(unnest(masks), ' ') AS line, generate_subscripts(raws, 1) AS pos FROM raw),
-s AS (SELECT DISTINCT doc_id, line, string_split(line, ' ') AS words, len(string_split(line, ' ')) AS n FROM l WHERE line <> ''),
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS raws FROM documents),
+l AS (SELECT doc_id, unnest(raws) AS raw, generate_subscripts(raws, 1) AS pos FROM raw),
+s0 AS (SELECT doc_id, pos, raw, trim(raw, ' ') AS line FROM l),
+s1 AS (SELECT doc_id, pos, regexp_replace(line, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g') AS line FROM s0 WHERE line <> ''),
+s AS (SELECT DISTINCT doc_id, line, string_split(line, ' ') AS words, len(string_split(line, ' ')) AS n FROM s1),
 u AS (SELECT line, any_value(words) AS words, any_value(n) AS n, count(*) AS docs FROM s GROUP BY line),
 f AS (SELECT *, array_to_string(words[1:{LEAD}], ' ') AS lead FROM u WHERE n >= {WIDE}),
 k AS (SELECT * FROM f WHERE (n, lead) IN (SELECT (n, lead) FROM f GROUP BY n, lead HAVING count(*) > 1)),
@@ -96,7 +102,8 @@ o AS (SELECT n, lead, pos, word FROM c QUALIFY row_number() OVER (PARTITION BY n
 a AS (SELECT n, lead, line FROM p JOIN o USING (n, lead, pos, word) GROUP BY ALL HAVING count(*) >= ceil({ALIKE} * n)),
 t AS (SELECT n, lead FROM a JOIN s USING (line, n) GROUP BY n, lead HAVING count(DISTINCT doc_id) >= CASE WHEN n >= {LONG} THEN {FEW} ELSE {MANY} END),
 g AS (SELECT line FROM u WHERE docs >= CASE WHEN n >= {LONG} THEN {FEW} ELSE {MANY} END UNION SELECT line FROM a JOIN t USING (n, lead)),
-m AS (SELECT l.*, g.line IS NOT NULL AS hit, len(regexp_extract_all(raw, '[^{_S}]+')) AS w FROM l LEFT JOIN g USING (line)),
-d AS (SELECT doc_id, coalesce(2 * sum(w) FILTER (hit) < sum(w), FALSE) AS cut, count(*) AS n_lines, count(*) FILTER (hit) AS hits, string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT hit) AS rest FROM m GROUP BY doc_id)
-SELECT doc_id, CASE WHEN cut THEN rest ELSE text END AS text, coalesce(n_lines, 0)::INT AS n_lines, (CASE WHEN cut THEN hits ELSE 0 END)::INT AS n_dropped FROM raw LEFT JOIN d USING (doc_id)
+h AS (SELECT doc_id, pos, n, g.line IS NOT NULL AS hit FROM s1 JOIN s USING (doc_id, line) LEFT JOIN g USING (line)),
+d AS (SELECT doc_id, 2 * sum(n) FILTER (hit) < sum(n) AS cut FROM h GROUP BY doc_id),
+m AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.pos) FILTER (NOT coalesce(hit, FALSE)) AS rest, count(*) AS n_lines, count(*) FILTER (hit) AS hits FROM l LEFT JOIN h USING (doc_id, pos) GROUP BY l.doc_id)
+SELECT doc_id, CASE WHEN cut THEN rest ELSE text END AS text, coalesce(n_lines, 0)::INT AS n_lines, (CASE WHEN cut THEN hits ELSE 0 END)::INT AS n_dropped FROM raw LEFT JOIN d USING (doc_id) LEFT JOIN m USING (doc_id)
 """
