@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = "flagship"
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+FLAGSHIP = "flagship_deidentify"
+
+
+class Tables:
+    """The tables of a folder as attributes; ``t.spark`` is the session."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of ``Tables`` as a query, with its SQL if SQL can express it."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    from carrel.queries import basics, identity, linking, notes, research, scrubbing  # noqa: F401
+
+
+load()
