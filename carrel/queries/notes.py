@@ -28,7 +28,7 @@ SHAPES: dict[str, list[tuple[str, str]]] = {
     "HDLCholesterol": [("HDL {n} mmol/L", "{n}"), ("HDL chol {n} mg/dL", "{n} * 0.02586")],
     "TotalCholesterol": [("cholesterol {n} mmol/L", "{n}"), ("HDL cholesterol {n} mmol/L", "")],
     "Triglycerides": [("triglycerides {n} mmol/L", "{n}"), ("TG {n} mg/dL", "{n} * 0.01129")],
-    "HbA1c": [("HbA1c {n} mmol/mol", "{n}"), ("HbA1c {n}%", "({n} - 2.152) * 10.93135")],
+    "HbA1c": [("HbA1c {n} mmol/mol", "{n}"), ("HbA1c {n}%", "abs(({n} - 2.152) * 10.93135)")],
     "Height": [("height {n} cm", "{n} * 0.01"), ("height was {n} m", "{n}"), ("height {n} ft 2 in", "({n} * 12 + 2) * 0.0254")],
     "Weight": [("weight {n} kg", "{n}"), ("weight {n} st 3 lb", "({n} * 14 + 3) * 0.45359237"), ("weight {n}", "")],
     "BMI": [("BMI {n}", "{n}"), ("body mass index {n} kg/m^2", "{n}")],
@@ -44,7 +44,7 @@ SHAPES: dict[str, list[tuple[str, str]]] = {
     "Eosinophils": [("eosinophils {n} x 10^9/L", "{n}"), ("eos {n}", "{n}")],
     "Platelets": [("platelets {n} x 10^9/L", "{n}"), ("plts {n}", "{n}")],
     "MMSE": [("MMSE {n}/30", "CASE WHEN {n} <= 30 THEN {n} END"), ("MMSE {n} out of 100", "NULL"), ("mini-mental state {n}", "CASE WHEN {n} <= 30 THEN {n} END")],
-    "ACE": [("ACE-R {n}/100", "CASE WHEN {n} <= 100 THEN {n} END"), ("ACE {n}/50", "NULL")],
+    "ACE": [("ACE-R {n}/100", "CASE WHEN {n} <= 100 THEN {n} END"), ("ACE-III {n}/50", "NULL")],
     "MiniACE": [("mini-ACE {n}/30", "CASE WHEN {n} <= 30 THEN {n} END"), ("M-ACE {n}", "CASE WHEN {n} <= 30 THEN {n} END")],
     "MOCA": [("MOCA {n}/30", "CASE WHEN {n} <= 30 THEN {n} END"), ("Montreal cognitive assessment {n}", "CASE WHEN {n} <= 30 THEN {n} END")],
     "AlcoholUnits": [("Drinks {n} units per week", "{n}"), ("alcohol {n} units/day", "{n} * 7"), ("Alcohol: none", "0"), ("used to drink {n} u/w", "{n}")],
@@ -55,7 +55,7 @@ def _oracle(shapes: list[tuple[str, str]]) -> str:
     rows = []
     for i, (_, value) in enumerate(shapes):
         if value:
-            rows.append(f"SELECT p_partkey AS pk, round(({value.format(n='n')})::DOUBLE, 6) AS value FROM x WHERE p_partkey % {len(shapes)} = {i}")
+            rows.append(f"SELECT p_partkey AS pk, round(({value.format(n='n')})::DOUBLE, 9) AS value FROM x WHERE p_partkey % {len(shapes)} = {i}")
     return "WITH x AS (SELECT p_partkey, (p_size + p_partkey % 10 / 10.0)::DOUBLE AS n FROM part) " + " UNION ALL ".join(rows)
 
 
@@ -73,7 +73,7 @@ def _notes(t: Tables, shapes: list[tuple[str, str]]):
 def _register(name: str, shapes: list[tuple[str, str]]) -> None:
     @query(f"np_{name.lower()}", _oracle(shapes))
     def _(t: Tables):
-        return nlp.run(_notes(t, shapes), "p_partkey", "note", [name]).select("pk", F.round("value", 6).alias("value"))
+        return nlp.run(_notes(t, shapes), "p_partkey", "note", [name]).select("pk", F.round("value", 9).alias("value"))
 
 
 for _name, _shapes in SHAPES.items():
