@@ -104,7 +104,7 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
         a, b = p[part::2], u[part::2]
 
         def gradient(w, a=a, b=b):
-            return -(a * (1 - _sigmoid(a @ w))[:, None]).mean(0) + (b * _sigmoid(b @ w)[:, None]).mean(0) + 1e-3 * w
+            return -((1 - _sigmoid(a @ w)) @ a) / len(a) + (_sigmoid(b @ w) @ b) / len(b) + 1e-3 * w
 
         w = _adam(gradient, p.shape[1], 150, 0.03)
         sp, su = np.sort(p[1 - part :: 2] @ w), u[1 - part :: 2] @ w
@@ -129,9 +129,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, prior: f
     def gradient(w):
         zp, zu = p @ w, u @ w
         # l(z) = log(1 + e^-z): dl(z)/dz = -s(-z), dl(-z)/dz = s(z)
-        up = pi * -(p * _sigmoid(-zp)[:, None]).mean(0)
+        up = -pi * (_sigmoid(-zp) @ p) / len(p)
         negative = np.logaddexp(0, zu).mean() - pi * np.logaddexp(0, zp).mean()
-        down = (u * _sigmoid(zu)[:, None]).mean(0) - pi * (p * _sigmoid(zp)[:, None]).mean(0)
+        down = (_sigmoid(zu) @ u) / len(u) - pi * (_sigmoid(zp) @ p) / len(p)
         # Where the estimated risk on negatives is below 0 the model overfits: step back on that part alone.
         return (up + down if negative >= 0 else -down) + 1e-3 * w
 
