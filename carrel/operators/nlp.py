@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carrel.operators.read_names import read_pattern
+
 FLAGS = regex.IGNORECASE | regex.VERBOSE | regex.UNICODE | regex.MULTILINE
 
 # Pieces of patterns, in verbose syntax.
@@ -121,14 +123,25 @@ class Processor:
             said = rf"(?P<tense>{TENSE})?{JUNK}(?P<relation>{RELATION})?{JUNK}"
             often = "" if self.units_required else "?"
             body = rf"(?:\(\s*{u}\s*\){JUNK}{said}{v}|\(\s*{v}\s+{u}\s*\)|{said}(?:{v}|\(\s*{v}\s*\)){JUNK}{u}{often})"
-            self.compiled["all"] = regex.compile(rf"{NOT_CONDITIONAL}(?P<quantity>{self.quantity}){JUNK}{body}{self.suffix()}", FLAGS)
+            named = f"(?:{read}|{self.quantity})" if (read := read_pattern(self.name)) else f"(?:{self.quantity})"
+            self.compiled["all"] = regex.compile(rf"{NOT_CONDITIONAL}(?P<quantity>{named})(?:,?\s+POC)?{JUNK}{body}{self.suffix()}", FLAGS)
             self.compiled["units"] = [(regex.compile(k, FLAGS), f) for k, f in self.units.items()]
-            self.compiled["name"] = regex.compile(rf"{NOT_CONDITIONAL}{self.quantity}", FLAGS)
+            self.compiled["name"] = regex.compile(rf"{NOT_CONDITIONAL}{named}", FLAGS)
         return self.compiled["all"]
 
     def suffix(self) -> str:
         return ""
 
+    def may_hold(self, text: str) -> bool:
+        """Cheap: whether the quantity is named at all."""
+        if "quick" not in self.compiled:
+            read = read_pattern(self.name)
+            self.compiled["quick"] = regex.compile("|".join(x for x in (read, self.cue()) if x), FLAGS)
+        return self.compiled["quick"].search(text) is not None
+
+    def cue(self) -> str:
+        return self.quantity
+
     def parse(self, text: str | None) -> Iterator[Found]:
         for m in self.pattern().finditer(text or ""):
             units, number = m["units"], to_float(m["value"])
@@ -209,6 +222,9 @@ class Measure(Processor):
 class BloodPressure(Processor):
     """Systolic over diastolic, or one of them if the text says which; a lone number of neither kind is left out."""
 
+    def cue(self) -> str:
+        return r"\bblood\s+pressure\b|\b[SD]?\.?B\.?P\.?\b"
+
     def pattern(self):
         if "all" not in self.compiled:
             bp = r"(?:\bblood\s+pressure\b|\bB\.?P\.?\b)"
@@ -246,6 +262,9 @@ _UK_UNITS = rf"(?:(?:U(?:nited\s+|\.\s*)?K(?:ingdom|\.)?\s+)?(?:{_ALCOHOL}\s+)?{
 class Alcohol(Processor):
     """UK units a week, from amounts by day, week, month or year, and 0 from statements of drinking none."""
 
+    def cue(self) -> str:
+        return r"alcohol|ethanol|etoh|dr[aiu]n|te[ea]-?total"
+
     def suffix(self) -> str:
         return rf"\b\s*(?P<suffix>{_WHEN[:-1]})?"
 
@@ -358,6 +377,8 @@ def run(notes: DataFrame, pk: str, text: str, processors: list[str] | None = Non
             rows = []
             for key, note in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for p in chosen:
+                    if not p.may_hold(note):
+                        continue
                     rows += [(p.name, p.target, key, f.content, f.start, f.end, f.variable_text, f.relation_text, f.relation, f.value_text, f.units, f.tense_text, f.tense, f.value, f.value2, f.denominator) for f in p.parse(note)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, s.type) for c, s in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
