@@ -36,7 +36,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from carrel.queries import basics, identity, linking, notes, research, scrubbing  # noqa: F401
+    from carrel.queries import basics, identity, linking, more, notes, research, scrubbing  # noqa: F401
 
 
 load()
