@@ -398,3 +398,13 @@ def missed(notes: DataFrame, pk: str, text: str, processor: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["pk"])
 
     return notes.where(relevant(F.col(text))).select(F.col(pk).cast("long"), F.col(text)).mapInArrow(names, "pk long")
+
+
+def external(notes: DataFrame, pk: str, text: str, program, schema: str) -> DataFrame:
+    """Hook for a program outside: ``program`` maps an iterator of pandas batches (pk, text) to result batches, in the executors."""
+    return notes.where(relevant(F.col(text))).select(pk, text).mapInPandas(program, schema)
+
+
+def remote(*_args, **_options) -> DataFrame:
+    """Processors behind a network service are not supported; ``external`` can call one where there is a network."""
+    raise NotImplementedError("remote processors need a network service: pass a client to external()")

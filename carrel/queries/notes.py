@@ -140,4 +140,4 @@ def _(t: Tables):
         for b in batches:
             yield pd.DataFrame({"pk": b["doc_id"], "n": b["text"].fillna("").str.len()})
 
-    return t.documents.select("doc_id", "text").mapInPandas(program, "pk long, n long")
+    return nlp.external(t.documents, "doc_id", "text", program, "pk long, n long")
