@@ -15,13 +15,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under the folder that driver and executors share.
 
     The folder is the one that ``spark.checkpoint.dir`` names. Where it is unset, as in
-    tests, a folder inside the warehouse is set for this session.
+    tests, it is a folder inside the warehouse.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_carrel_shared"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CAPACITY, LEAST, END = 2048, 64, 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -158,7 +159,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, least: int
         if rows:
             yield _batch(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
