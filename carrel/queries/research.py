@@ -69,11 +69,11 @@ def _(t: Tables):
     return Select(CATALOG).add_column("q_patient", "segment").add_column("q_patient", "rid").add_column("q_patient", "segment", "segment2").run(t.spark)
 
 
-@query("flt_08_literals", "SELECT o_orderkey AS record_id FROM orders WHERE o_orderdate >= DATE '2023-01-01' AND o_totalprice < 150000.5 AND o_orderkey NOT IN (1, 2, 3)")
+@query("flt_08_literals", "SELECT o_orderkey AS record_id FROM orders WHERE o_orderdate >= DATE '1996-01-01' AND o_totalprice < 250000.5 AND o_orderkey NOT IN (1, 2, 3)")
 def _(t: Tables):
     _views(t)
-    s = Select(CATALOG).add_column("q_record", "record_id").add_where(condition("created_at", ">=", "2023-01-01", "date"))
-    return s.add_where(condition("price", "<", 150000.5, "number")).add_where(condition("record_id", "NOT IN", [1, 2, 3], "int")).run(t.spark)
+    s = Select(CATALOG).add_column("q_record", "record_id").add_where(condition("created_at", ">=", "1996-01-01", "date"))
+    return s.add_where(condition("price", "<", 250000.5, "number")).add_where(condition("record_id", "NOT IN", [1, 2, 3], "int")).run(t.spark)
 
 
 @query("flt_23_privileged", "SELECT o_orderkey AS record_id FROM orders WHERE o_custkey IN (7, 8)")
