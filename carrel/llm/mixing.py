@@ -115,7 +115,7 @@ a AS (SELECT source, source_size, tilt, round(coalesce(least(cap, f.level * weig
 c AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d),
 p AS (SELECT doc_id, size, source_size, target, tilt, start, floor(target)::BIGINT AS q, greatest(0, least(size, floor(target)::BIGINT - start)) AS p0, greatest(0, least(size, floor(target)::BIGINT - source_size - start)) AS p1, greatest(0, least(size, floor(target)::BIGINT - 2 * source_size - start)) AS p2 FROM c JOIN a ON c.source IS NOT DISTINCT FROM a.source)
 SELECT doc_id, size, source_size, target, (p0 + p1 + p2)::BIGINT AS taken,
-  CASE WHEN p0 > 0 THEN round(CASE WHEN tilt = 0 THEN start / greatest(target, 1e-9) ELSE ((1 + tilt) - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * (start / greatest(target, 1e-9)), 0))) / (2 * tilt) END, 9) END AS position,
+  CASE WHEN p0 > 0 THEN 0.0 + round(CASE WHEN tilt = 0 THEN start / greatest(target, 1e-9) ELSE ((1 + tilt) - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * (start / greatest(target, 1e-9)), 0))) / (2 * tilt) END, 9) END AS position,
   ((p0 > 0)::INT + (p1 > 0)::INT + (p2 > 0)::INT)::INT AS copies
 FROM p
 """
