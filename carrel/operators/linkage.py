@@ -164,6 +164,28 @@ def name_score(p: Column, c: Column, p_code: Column, c_code: Column, freqs: tupl
     )
 
 
+def surname_score(fragments: Column, names: Column, codes: Column, twos: Column, errors: tuple[Column, Column, Column]) -> Column:
+    """Surnames by their fragments: the rarest of the proband's that the candidate has too, at the best level there is.
+
+    ``fragments``: the proband's, whole name first, as structs (name, code, two, p_name, p_code, p_two); ``names``, ``codes`` and ``twos``:
+    arrays of the candidate's. Without any in common the whole name's frequencies count.
+    """
+    ep1, ep2, en = errors
+
+    def rarest(key: str, held: Column, p: str) -> Column:
+        return F.array_min(F.transform(F.filter(fragments, lambda f: F.array_contains(held, f[key])), lambda f: f[p]))
+
+    whole = F.get(fragments, F.lit(0))
+    exact, code, two = rarest("name", names, "p_name"), rarest("code", codes, "p_code"), rarest("two", twos, "p_two")
+    return (
+        F.when((F.size(fragments) == 0) | (F.size(names) == 0), None)
+        .when(exact.isNotNull(), _llr(1 - ep1 - ep2 - en, exact))
+        .when(code.isNotNull(), _llr(ep1, code))
+        .when(two.isNotNull(), _llr(ep2, two))
+        .otherwise(_llr(en, 1 - whole["p_name"] - whole["p_code"] - whole["p_two"]))
+    )
+
+
 def forename_errors(gender: Column, cfg: Config):
     return tuple(_by_gender(gender, v) for v in (cfg.forename_ep1, cfg.forename_ep2, cfg.forename_en))
 

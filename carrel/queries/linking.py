@@ -211,3 +211,47 @@ def _(t: Tables):
     from carrel.functions.numbers import round_significant
 
     return t.part.select("p_partkey", round_significant(c("p_retailprice") / (c("p_size") + 1), 3).alias("r"))
+
+
+def _frequency(name: str) -> tuple[str, str, float, float, float]:
+    """Code, first two letters and frequencies of a surname or a fragment of one."""
+    code, two, p = metaphone(name), name[:2], _P.get(name, CFG.least_frequency)
+    others = {n: f for n, f in _P.items() if n in SURNAMES}
+    p_code = max(CFG.least_frequency, sum(f for n, f in others.items() if _CODES[n] == code) - p)
+    p_two = max(CFG.least_frequency, sum(f for n, f in others.items() if n[:2] == two and _CODES[n] != code))
+    return code, two, p, p_code, p_two
+
+
+def _double(i: int) -> list[str]:
+    """Fragments of the i-th double name, the whole first."""
+    a, b = SURNAMES[i], SURNAMES[(i + 5) % 12]
+    return [a + b, *sorted({a, b})]
+
+
+def _candidate(i: int) -> str:
+    """One of the two parts, a name that sounds like one, or another."""
+    return {0: SURNAMES[i], 1: SURNAMES[(i + 5) % 12], 2: SURNAMES[(i + 1) % 12], 3: SURNAMES[(i + 8) % 12]}[i % 4]
+
+
+def _expected(i: int, female: bool) -> float:
+    """The same score worked out name by name, for the twelve double names."""
+    e1, e2, en = (x[0 if female else 1] for x in (CFG.surname_ep1, CFG.surname_ep2, CFG.surname_en))
+    other = _candidate(i)
+    code, two, *_ = _frequency(other)
+    own = [(f, *_frequency(f)) for f in _double(i)]
+    for at, value, error, p in ((0, other, 1 - e1 - e2 - en, 3), (1, code, e1, 4), (2, two, e2, 5)):
+        hits = [f[p] for f in own if f[at] == value]
+        if hits:
+            return math.log(error) - math.log(min(hits))
+    _, _, _, p, pc, pt = own[0]
+    return math.log(en) - math.log(1 - p - pc - pt)
+
+
+@query("lnk_08_surname_fragments", "SELECT c_custkey, round(score, 9) AS score FROM customer JOIN (VALUES " + ", ".join(f"({i}, {g}, {_num(_expected(i, g == 0))})" for i in range(12) for g in (0, 1)) + ") AS x(i, g, score) ON c_custkey % 12 = i AND c_custkey // 12 % 2 = g")
+def _(t: Tables):
+    i, female = c("c_custkey") % 12, F.floor(c("c_custkey") / 12) % 2 == 0
+    struct = lambda f: F.struct(*(F.lit(v).alias(k) for k, v in zip(("name", "code", "two", "p_name", "p_code", "p_two"), (f, *_frequency(f)), strict=True)))
+    own = F.element_at(F.array(*(F.array(*map(struct, _double(k))) for k in range(12))), (i + 1).cast("int"))
+    theirs = [F.element_at(F.array(*(F.array(F.lit(x)) for x in xs)), (i + 1).cast("int")) for xs in zip(*((_candidate(k), *_frequency(_candidate(k))[:2]) for k in range(12)), strict=True)]
+    score = ln.surname_score(own, *theirs, ln.surname_errors(F.when(female, "F").otherwise("M"), CFG))
+    return t.customer.select("c_custkey", F.round(score, 9).alias("score"))
