@@ -23,13 +23,26 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the written table: the lineage ends there."""
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that ``stored`` has written in this process; how many. Call it once results are written elsewhere."""
+    conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def sliced(batches, rows: int = 2000):
     """The record batches in slices, so that what a task makes of one at a time stays small."""
     for batch in batches:
