@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from carrel.llm.common import shuffle_partitions
 
-LANES, SKETCH, WINDOW = 128, 256, 16
+LANES, SKETCH, WINDOW = 128, 256, 8
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _FIRST = -(2**63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
