@@ -1,4 +1,4 @@
-"""Record linkage between two lists of people made of customers: the sample is all of them, the probands every fifth with slips."""
+"""Record linkage between two lists of people made of customers: all of them, and all of them again with slips."""
 
 from __future__ import annotations
 
@@ -34,8 +34,7 @@ def _people(t: Tables, slips: bool):
         dob = F.when(k % 15 == 0, other).otherwise(dob)
         sur = F.when(k % 20 == 5, _pick(SURNAMES, (k * 5 + 1) % 12)).otherwise(sur)
         code = F.when(k % 25 == 0, None).otherwise(code)
-    d = t.customer.where("c_custkey % 5 = 0") if slips else t.customer
-    d = d.select(F.concat(F.lit("p" if slips else "s"), k.cast("string")).alias("id"), fore.alias("forename"), sur.alias("surname"), dob.alias("dob"), gender.alias("gender"), code.alias("postcode"))
+    d = t.customer.select(F.concat(F.lit("p" if slips else "s"), k.cast("string")).alias("id"), fore.alias("forename"), sur.alias("surname"), dob.alias("dob"), gender.alias("gender"), code.alias("postcode"))
     table = F.create_map(*(F.lit(x) for n, m in _CODES.items() for x in (n, m)))
     d = d.withColumn("forename_code", table[c("forename")]).withColumn("surname_code", table[c("surname")])
     if not slips:
@@ -57,7 +56,7 @@ def _people_sql(slips: bool) -> str:
         dob = f"CASE WHEN c_custkey % 15 = 0 THEN DATE '1940-01-01' + ((c_custkey * 7919 + 400) % 21000)::INT ELSE {dob} END"
         sur = f"CASE WHEN c_custkey % 20 = 5 THEN {_SQL_LIST(SURNAMES)}[1 + (c_custkey * 5 + 1) % 12] ELSE {sur} END"
         code = f"CASE WHEN c_custkey % 25 = 0 THEN NULL ELSE {code} END"
-    return f"SELECT '{'p' if slips else 's'}' || c_custkey AS id, {fore} AS forename, {sur} AS surname, ({dob})::DATE AS dob, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, {code} AS postcode FROM customer" + (" WHERE c_custkey % 5 = 0" if slips else "")
+    return f"SELECT '{'p' if slips else 's'}' || c_custkey AS id, {fore} AS forename, {sur} AS surname, ({dob})::DATE AS dob, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS gender, {code} AS postcode FROM customer"
 
 
 _PAIRS = f"WITH p AS ({_people_sql(True)}), s AS ({_people_sql(False)}), pairs AS (SELECT p.id AS proband_id, s.id AS candidate_id, CASE WHEN p.dob = s.dob THEN 1 WHEN strftime(p.dob, '%m-%d') = strftime(s.dob, '%m-%d') THEN 2 WHEN strftime(p.dob, '%Y-%d') = strftime(s.dob, '%Y-%d') THEN 3 ELSE 4 END AS priority, p.dob AS pd, s.dob AS sd, p.gender AS pg, s.gender AS sg, p.postcode AS pp, s.postcode AS sp, p.forename AS pf, s.forename AS sf, p.surname AS ps, s.surname AS ss FROM p JOIN s ON (day(p.dob) = day(s.dob) AND month(p.dob) = month(s.dob)) OR (day(p.dob) = day(s.dob) AND year(p.dob) = year(s.dob)) OR (month(p.dob) = month(s.dob) AND year(p.dob) = year(s.dob)))"
@@ -116,10 +115,10 @@ def _(t: Tables):
     return d.select(c("proband_id").alias("proband_local_id"), "matched", second.alias("second_best_log_odds")).orderBy("proband_local_id")
 
 
-@query("lnk_01_perfect", "SELECT 'p' || a.c_custkey AS proband_id, 's' || min(b.c_custkey::VARCHAR) AS candidate_id FROM customer a JOIN customer b ON b.c_custkey % 500 = a.c_custkey % 500 WHERE a.c_custkey % 7 = 0 GROUP BY a.c_custkey")
+@query("lnk_01_perfect", "SELECT 'p' || a.c_custkey AS proband_id, 's' || min(b.c_custkey::VARCHAR) AS candidate_id FROM customer a JOIN customer b ON b.c_custkey % 500 = a.c_custkey % 500 GROUP BY a.c_custkey")
 def _(t: Tables):
     k = c("c_custkey")
-    p = t.customer.where("c_custkey % 7 = 0").select(F.concat(F.lit("p"), k).alias("id"), F.concat(F.lit("NHS:a"), (k % 500).cast("string"), F.lit(";other:")).alias("perfect_id"))
+    p = t.customer.select(F.concat(F.lit("p"), k).alias("id"), F.concat(F.lit("NHS:a"), (k % 500).cast("string"), F.lit(";other:")).alias("perfect_id"))
     s = t.customer.select(F.concat(F.lit("s"), k).alias("id"), F.concat(F.lit("nhsnum:A"), (k % 500).cast("string")).alias("perfect_id"))
     return ln.perfect_matches(p, s, {"nhs": "nhsnum"})
 

@@ -95,10 +95,10 @@ def _(t: Tables):
     return files.document_texts(d, "content", "ext", skip_failed=True).select("s_suppkey")
 
 
-@query("src_12_id_list", "SELECT c_custkey AS id FROM customer WHERE c_custkey % 50 = 0")
+@query("src_12_id_list", "SELECT c_custkey AS id FROM customer")
 def _(t: Tables):
     path = scratch(t.spark, "ids")
-    t.customer.where("c_custkey % 50 = 0").select(F.concat(c("c_custkey").cast("string"), F.lit("  word")).alias("value")).write.text(path)
+    t.customer.select(F.concat(c("c_custkey").cast("string"), F.lit("  word")).alias("value")).write.text(path)
     return files.ids(t.spark, path, "bigint")
 
 
@@ -248,10 +248,10 @@ def _(t: Tables):
     return t.spark.createDataFrame([(x, w.scrub(x)) for x in ("In New   York now", "newyork")], "text string, found string")
 
 
-@query("scr_08_order", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '[__PPP__] at [~~~]' ELSE '[~~~] at [~~~]' END AS note FROM customer WHERE c_custkey < 20")
+@query("scr_08_order", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '[__PPP__] at [~~~]' ELSE '[~~~] at [~~~]' END AS note FROM customer")
 def _(t: Tables):
     """The patient's details before the nonspecific ones, or after: the mark shows which came first."""
-    d = t.customer.where("c_custkey < 20").select("c_custkey", F.lit("1234567890 at CB2 3EB").alias("note"), F.lit("1234567890").alias("v"))
+    d = t.customer.select("c_custkey", F.lit("1234567890 at CB2 3EB").alias("note"), F.lit("1234567890").alias("v"))
     own, non = sc.scrub_source(d, "c_custkey", {"v": "number"}), sc.Nonspecific(postcodes=True, digits=(10,))
     first = sc.scrub_notes(d.where("c_custkey % 2 = 0"), "c_custkey", ["note"], own, sc.Options(nonspecific=non))
     last = sc.scrub_notes(d.where("c_custkey % 2 = 1"), "c_custkey", ["note"], own, sc.Options(nonspecific=non, nonspecific_first=True))
