@@ -28,10 +28,15 @@ _WRITTEN: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and returns the written table: the lineage ends there."""
+    """Writes ``df`` to the shared folder and returns the written table: the lineage ends there.
+
+    Spark deletes the shuffle files of the plan once the driver's JVM has collected it; asking for that here keeps
+    the disk that a job takes to about that of its largest step.
+    """
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     _WRITTEN.append(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
