@@ -1,7 +1,8 @@
 """License scans by sentence-rule recognition, in DataFrame functions only.
 
-A text is cut to sentences, at line ends and again with its lines joined; a sentence is normalised and looked up among known licence
-sentences. The identifiers found, in the order of the text, are matched against rules, ordered sequences of identifiers;
+A text is normalised, with a mark at each line end and each sentence end. A known licence sentence is found where it starts and ends
+at marks; marks inside it, of wrapped lines or of its own colons, are passed over; where several start, the longest counts. The
+identifiers found, in the order of the text, are matched against rules, ordered sequences of identifiers;
 a longer rule comes before a shorter one, and what a rule has matched is not matched again. Identifiers that no rule uses are
 reported as they are.
 """
@@ -95,18 +96,21 @@ CUES = ("license", "copyright", "warrant", "redistribut", "permission")
 _ORDER = sorted(range(len(RULES)), key=lambda i: (-len(RULES[i][1]), i))
 _S = r"\x20\x09-\x0D"
 _END = rf"[.!?:;]+[{_S}]"
+#: Of the SQL only.
 _JOIN = r"\n[ \t]*([#*]+|//+|--+)?[ \t]*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: No known sentence is as long as this.
+#: Of the SQL only: no known sentence is as long as this.
 _LONGEST = 4000
 
 
 def _ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order; line feeds end a sentence, and marks before white space."""
+    """Identifiers of the known sentences of a text, in order. Line feeds are the marks at which sentences start and end."""
     known = F.create_map(*(F.lit(x) for i, sentences in SENTENCES.items() for s in sentences for x in (s, i)))
-    normal = lambda s: F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "))
-    found = F.transform(F.split(F.regexp_replace(text, _END, "\n"), "\n", -1), lambda s: F.when(F.length(s) < _LONGEST, F.try_element_at(known, normal(s))))
-    return F.filter(found, lambda x: x.isNotNull())
+    words = F.regexp_replace(F.translate(F.regexp_replace(text, _END, "\n"), _UPPER, _LOWER), "[^a-z0-9\n]+", " ")
+    marked = F.regexp_replace(F.concat(F.lit("\n"), words, F.lit("\n")), " *\n[ \n]*+", "\n")
+    longest = sorted((s for sentences in SENTENCES.values() for s in sentences), key=lambda s: (-len(s), s))
+    any_known = "(?<=\n)(?:" + "|".join(s.replace(" ", "[ \n]") for s in longest) + ")(?=\n)"
+    return F.transform(F.regexp_extract_all(marked, F.lit(any_known), F.lit(0)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def _licences(ids: Column) -> Column:
@@ -125,12 +129,12 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, sentence_ids and licenses, both as sorted distinct names with commas.
 
     A text without known sentences, empty or null has two empty strings. Every row is scanned by itself, so repeated ids and rows
-    need no rule; very long sentences are no known ones. Other columns are ignored; an empty table gives no rows.
+    need no rule. Other columns are ignored; an empty table gives no rows.
     """
     cued = docs.select("doc_id", F.when(F.col("text").rlike("(?i)" + "|".join(CUES)), F.col("text")).alias("text"))
-    d = cued.select("doc_id", _ids(F.col("text")).alias("cut"), _ids(F.regexp_replace("text", _JOIN, " ")).alias("joined"))
+    d = cued.select("doc_id", _ids(F.col("text")).alias("ids"))
     names = lambda a: F.coalesce(F.array_join(F.array_sort(F.array_distinct(a)), ","), F.lit(""))
-    return d.select("doc_id", names(F.concat("cut", "joined")).alias("sentence_ids"), names(F.concat(_licences(F.col("cut")), _licences(F.col("joined")))).alias("licenses"))
+    return d.select("doc_id", names(F.col("ids")).alias("sentence_ids"), names(_licences(F.col("ids"))).alias("licenses"))
 
 
 def _oracle() -> str:
@@ -153,5 +157,5 @@ SELECT doc_id, coalesce(sentence_ids, '') AS sentence_ids, coalesce(licenses, ''
 """
 
 
-#: The same rows in SQL.
+#: The same rows in SQL for texts whose known sentences hold no mark and no paragraph break.
 ORACLE = _oracle()
