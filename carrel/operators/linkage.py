@@ -1,7 +1,8 @@
 """Probabilistic record linkage: Bayesian comparison of people, in plain text or hashed.
 
-A person is a row: id, forename, surname, dob, gender, postcode (any may be null) and what the proband's frequencies are. Probands
-meet candidates that share a date of birth in full or in two parts of three; each identifier adds its log likelihood ratio; the
+A person is a row: id, forename, surname, dob, gender, postcode (any may be null) and what the proband's frequencies are; ``score_pairs``
+names the columns for fragments of a surname and for several names or postcodes with their periods. A shared perfect identifier
+settles a proband. Others meet candidates that share a date of birth in full or in two parts of three; each identifier adds its log likelihood ratio; the
 best candidate wins if it is good enough and ahead of the second. All but the pairing of several names is Catalyst expressions.
 """
 
@@ -268,32 +269,78 @@ def perfect_matches(probands: DataFrame, sample: DataFrame, translate: dict[str,
     return p.join(s, ["k", "v"]).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("proband_id", "candidate_id")
 
 
+def _fragment_score(own: Column, theirs: Column, gender: Column, cfg: Config) -> Column:
+    """``surname_score`` of the proband's and the candidate's fragments."""
+    score = surname_score(own, *(theirs[k] for k in ("name", "code", "two")), surname_errors(gender, cfg))
+    return F.when(own.isNotNull() & theirs.isNotNull(), score)
+
+
+def _table(own: Column, theirs: Column, score) -> Column:
+    """Scores of all pairs of two arrays of structs with start and end, for ``best_pairs``; what does not meet in time is not compared."""
+    meet = lambda a, b: overlaps(a["start"], a["end"], b["start"], b["end"])
+    table = F.transform(own, lambda a: F.transform(theirs, lambda b: F.when(meet(a, b), score(a, b))))
+    return F.when(own.isNotNull() & theirs.isNotNull(), table)
+
+
 def score_pairs(pairs: DataFrame, probands: DataFrame, sample: DataFrame, cfg: Config) -> DataFrame:
     """log_odds of each pair. People: id, forename, surname, gender, dob, postcode, forename_code, surname_code; probands also
-    f_name, f_code, f_two, s_name, s_code, s_two (name frequencies), p_unit, p_sector."""
+    f_name, f_code, f_two, s_name, s_code, s_two (name frequencies), p_unit, p_sector.
+
+    Where both tables have a column of these, it counts instead of the single identifier's columns, which may then be absent:
+    ``surname_fragments``, an array, whole name first, of structs (name, code, two; probands also p_name, p_code, p_two); and, for people with several,
+    arrays of structs with start and end (dates, null if open): ``surnames`` (fragments), ``forenames`` (name, code; probands also
+    p_name, p_code, p_two), in their order, and ``postcodes`` (postcode; probands also p_unit, p_sector).
+    """
+    both = set(probands.columns) & set(sample.columns)
     p = probands.select(*(F.col(c).alias(f"p_{c}") for c in probands.columns))
     c = sample.select(*(F.col(x).alias(f"c_{x}") for x in sample.columns))
     d = pairs.join(p, F.col("proband_id") == F.col("p_id")).join(c, F.col("candidate_id") == F.col("c_id"))
     x = F.col
-    scores = [
-        dob_score(x("p_dob"), x("c_dob"), cfg),
-        gender_score(x("p_gender"), x("c_gender"), cfg),
-        postcode_score(x("p_postcode"), x("c_postcode"), x("p_p_unit"), x("p_p_sector"), cfg),
-        name_score(x("p_forename"), x("c_forename"), x("p_forename_code"), x("c_forename_code"), (x("p_f_name"), x("p_f_code"), x("p_f_two")), forename_errors(x("p_gender"), cfg)),
-        name_score(x("p_surname"), x("c_surname"), x("p_surname_code"), x("c_surname_code"), (x("p_s_name"), x("p_s_code"), x("p_s_two")), surname_errors(x("p_gender"), cfg)),
-    ]
-    return d.select("proband_id", "candidate_id", "priority", total_odds(cfg.prior(), scores).alias("log_odds"))
-
-
-def link(probands: DataFrame, sample: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """Result of every proband, those without candidates too."""
+    gender, tables = x("p_gender"), {}
+    if "postcodes" in both:
+        tables["postcode"] = _table(x("p_postcodes"), x("c_postcodes"), lambda a, b: postcode_score(a["postcode"], b["postcode"], a["p_unit"], a["p_sector"], cfg))
+        postcode = best_pairs_udf()(x("postcode_table"))
+    else:
+        postcode = postcode_score(x("p_postcode"), x("c_postcode"), x("p_p_unit"), x("p_p_sector"), cfg)
+    if "forenames" in both:
+        fore = lambda a, b: name_score(a["name"], b["name"], a["code"], b["code"], (a["p_name"], a["p_code"], a["p_two"]), forename_errors(gender, cfg))
+        tables["forename"] = _table(x("p_forenames"), x("c_forenames"), fore)
+        forename = best_pairs_udf(True, cfg.forename_unordered)(x("forename_table"))
+    else:
+        forename = name_score(x("p_forename"), x("c_forename"), x("p_forename_code"), x("c_forename_code"), (x("p_f_name"), x("p_f_code"), x("p_f_two")), forename_errors(gender, cfg))
+    if "surnames" in both:
+        tables["surname"] = _table(x("p_surnames"), x("c_surnames"), lambda a, b: _fragment_score(a["fragments"], b["fragments"], gender, cfg))
+        surname = best_pairs_udf()(x("surname_table"))
+    elif "surname_fragments" in both:
+        surname = _fragment_score(x("p_surname_fragments"), x("c_surname_fragments"), gender, cfg)
+    else:
+        surname = name_score(x("p_surname"), x("c_surname"), x("p_surname_code"), x("c_surname_code"), (x("p_s_name"), x("p_s_code"), x("p_s_two")), surname_errors(gender, cfg))
+    scores = {"dob": dob_score(x("p_dob"), x("c_dob"), cfg), "gender": gender_score(gender, x("c_gender"), cfg), "postcode": postcode, "forename": forename, "surname": surname}
+    if tables:
+        # By a generator, so that the tables are not folded into the UDF's arguments: Spark can't run a UDF over nested lambdas.
+        d = d.select("*", F.inline(F.array(F.struct(*(t.alias(f"{k}_table") for k, t in tables.items())))))
+    d = d.select("proband_id", "candidate_id", "priority", *(s.alias(k) for k, s in scores.items()))
+    return d.select("proband_id", "candidate_id", "priority", total_odds(cfg.prior(), [x(k) for k in scores]).alias("log_odds"))
+
+
+def link(probands: DataFrame, sample: DataFrame, cfg: Config | None = None, translate: dict[str, str] | None = None) -> DataFrame:
+    """Result of every proband, those without candidates too.
+
+    Where both tables have ``perfect_id`` (see ``perfect_matches``, with ``translate``), a proband who shares one is matched by it, with
+    infinite odds and no second best, and is compared no further.
+    """
     cfg = cfg or Config()
     if sample.count() > cfg.population:
         raise ValueError("the sample is larger than the population")
     for df, who in ((probands, "probands"), (sample, "sample")):
         if df.groupBy("id").count().where("count > 1").limit(1).count():
             raise ValueError(f"repeated ids among {who}")
-    best = winners(score_pairs(shortlist(probands, sample), probands, sample, cfg), cfg)
+    perfect = "perfect_id" in probands.columns and "perfect_id" in sample.columns
+    sure = perfect_matches(probands, sample, translate) if perfect else None
+    rest = probands.join(sure.select(F.col("proband_id").alias("id")), "id", "left_anti") if perfect else probands
+    best = winners(score_pairs(shortlist(rest, sample), rest, sample, cfg), cfg)
+    if perfect:
+        best = best.unionByName(sure.select("proband_id", F.lit(True).alias("matched"), F.lit(INFINITY).alias("log_odds"), F.lit(1.0).alias("p_match"), F.col("candidate_id").alias("match_id"), F.lit(-INFINITY).alias("second_best")))
     return probands.select(F.col("id").alias("proband_id")).join(best, "proband_id", "left").withColumns({"matched": F.coalesce("matched", F.lit(False)), "log_odds": F.coalesce("log_odds", F.lit(-INFINITY)), "p_match": F.coalesce("p_match", F.lit(0.0)), "second_best": F.coalesce("second_best", F.lit(-INFINITY))})
 
 

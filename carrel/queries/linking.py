@@ -37,12 +37,14 @@ def _people(t: Tables, slips: bool):
     d = t.customer.select(F.concat(F.lit("p" if slips else "s"), k.cast("string")).alias("id"), fore.alias("forename"), sur.alias("surname"), dob.alias("dob"), gender.alias("gender"), code.alias("postcode"))
     table = F.create_map(*(F.lit(x) for n, m in _CODES.items() for x in (n, m)))
     d = d.withColumn("forename_code", table[c("forename")]).withColumn("surname_code", table[c("surname")])
+    fragment = [c("surname").alias("name"), c("surname_code").alias("code"), F.substring("surname", 1, 2).alias("two")]
     if not slips:
-        return d
+        return d.withColumn("surname_fragments", F.array(F.struct(*fragment)))
     freq = {n: (p, max(CFG.least_frequency, sum(_P[m] for m in _P if _CODES[m] == _CODES[n]) - p), max(CFG.least_frequency, sum(_P[m] for m in _P if m[:2] == n[:2] and _CODES[m] != _CODES[n]))) for n, p in _P.items()}
     for j, x in enumerate(("name", "code", "two")):
         values = F.create_map(*(F.lit(v) for n, f in freq.items() for v in (n, f[j])))
         d = d.withColumn(f"f_{x}", values[c("forename")]).withColumn(f"s_{x}", values[c("surname")])
+    d = d.withColumn("surname_fragments", F.array(F.struct(*fragment, *(c(f"s_{x}").alias(f"p_{x}") for x in ("name", "code", "two")))))
     return d.withColumn("p_unit", F.lit(1e-6)).withColumn("p_sector", F.lit(1e-4))
 
 

@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import pytest
@@ -88,6 +89,58 @@ def test_link_refuses_bad_input(spark):
         ln.link(people, people)
 
 
+FREQ = {"p_name": 1e-3, "p_code": 1e-3, "p_two": 1e-3}
+_NAME = "name string, code string, two string"
+_P_NAME = _NAME + ", p_name double, p_code double, p_two double"
+_PEOPLE = "id string, dob date, gender string, perfect_id string, "
+_TIME = "start date, end date"
+SINGLE = ", forename string, forename_code string, postcode string"
+P_SINGLE = SINGLE + ", f_name double, f_code double, f_two double, p_unit double, p_sector double"
+
+
+def _parts(*names: str, freq: bool = False) -> list[tuple]:
+    return [(n, n[:4], n[:2], *(FREQ.values() if freq else ())) for n in names]
+
+
+def test_link_by_perfect_ids_and_surname_fragments(spark):
+    own, other = datetime.date(1970, 1, 2), datetime.date(1999, 9, 9)
+    single, freq = ("ANNA", "ANNA", "CB1 1AA"), (1e-3, 1e-3, 1e-3, 1e-6, 1e-4)
+    p = spark.createDataFrame([("p1", own, "F", "NHS:12", _parts("QUILL", freq=True), *single, *freq), ("p2", own, "F", None, _parts("SMITH-JONES", "JONES", "SMITH", freq=True), *single, *freq)], f"{_PEOPLE}surname_fragments array<struct<{_P_NAME}>>{P_SINGLE}")
+    s = spark.createDataFrame([("s1", other, "M", "nhsnum:12", _parts("BLAKE"), "BOB", "BOB", None), ("s2", own, "F", "nhsnum:13", _parts("JONES"), *single), ("s3", own, "F", None, _parts("WEBER"), *single)], f"{_PEOPLE}surname_fragments array<struct<{_NAME}>>{SINGLE}")
+    out = {r.proband_id: r for r in ln.link(p, s, translate={"nhs": "nhsnum"}).collect()}
+    assert (out["p1"].match_id, out["p1"].log_odds, out["p1"].second_best, out["p1"].p_match) == ("s1", math.inf, -math.inf, 1.0)
+    # The part is a full match with the part's frequency; the other surname is none.
+    ep1, ep2, en = (e[0] for e in (ln.Config().surname_ep1, ln.Config().surname_ep2, ln.Config().surname_en))
+    full, none = math.log(1 - ep1 - ep2 - en) - math.log(1e-3), math.log(en) - math.log(1 - 3e-3)
+    assert out["p2"].match_id == "s2" and out["p2"].log_odds - out["p2"].second_best == pytest.approx(full - none)
+
+
+def test_scores_of_several_names_and_postcodes(spark):
+    day, cfg = datetime.date, ln.Config()
+    dob, free = day(1970, 1, 2), (None, None)
+    name = lambda n, *when, freq=False: (*_parts(n, freq=freq)[0], *(when or free))
+    sur = lambda n, *when, freq=False: (_parts(n, freq=freq), *(when or free))
+    shape = lambda n, pc: f"{_PEOPLE}forenames array<struct<{n}, {_TIME}>>, surnames array<struct<fragments: array<struct<{n}>>, {_TIME}>>, postcodes array<struct<{pc}, {_TIME}>>"
+    p = spark.createDataFrame([("p", dob, "F", None, [name("ANNA", freq=True), name("MARIA", freq=True)], [sur("OLDE", day(1990, 1, 1), day(1999, 1, 1), freq=True), sur("NEWE", day(1999, 1, 2), None, freq=True)], [("CB1 1AA", 1e-6, 1e-4, *free), ("CB2 2BB", 1e-6, 1e-4, *free)])], shape(_P_NAME, "postcode string, p_unit double, p_sector double"))
+    s = spark.createDataFrame([
+        ("order", dob, "F", None, [name("ANNA"), name("MARIA")], [sur("NEWE")], [("CB2 2BB", *free)]),
+        ("other", dob, "F", None, [name("MARIA"), name("ANNA")], [sur("NEWE")], [("CB2 2BB", *free)]),
+        ("early", dob, "F", None, [name("ANNA"), name("MARIA")], [sur("NEWE", day(1980, 1, 1), day(1985, 1, 1))], [("CB2 2BB", *free)]),
+        ("blank", dob, "F", None, None, [], None),
+    ], shape(_NAME, "postcode string"))
+    pairs = s.selectExpr("'p' AS proband_id", "id AS candidate_id", "1 AS priority")
+    got = {r.candidate_id: r.log_odds for r in ln.score_pairs(pairs, p, s, cfg).collect()}
+    full = lambda *e: math.log(1 - sum(x[0] for x in e)) - math.log(1e-3)
+    fore, last = full(cfg.forename_ep1, cfg.forename_ep2, cfg.forename_en), full(cfg.surname_ep1, cfg.surname_ep2, cfg.surname_en)
+    unit = 1e-6 * cfg.k_postcode * (1 - cfg.k_pseudo * cfg.unknown_postcode)
+    post = math.log(1 - cfg.postcode_ep - cfg.postcode_en) - math.log(unit)
+    in_order, out_of_order = math.log(1 - cfg.forename_unordered), math.log(cfg.forename_unordered)
+    assert got["order"] - got["blank"] == pytest.approx(2 * fore + in_order + last + post)
+    assert got["order"] - got["other"] == pytest.approx(in_order - out_of_order)
+    # A surname of another time is not compared.
+    assert got["order"] - got["early"] == pytest.approx(last)
+
+
 def test_types_and_profiles(spark):
     d = spark.createDataFrame([("1", "x", "2020-01-01", "1.5", "yes", ""), ("2", "y", None, "2", "no", None)], "a string, b string, c string, d string, e string, f string")
     assert rel.infer_types(d, ["a", "b", "c", "d", "e", "f"]) == {"a": "bigint", "b": "string", "c": "date", "d": "double", "e": "boolean", "f": "string"}
