@@ -68,6 +68,29 @@ def small_batches(spark: SparkSession, rows: int = 2000):
         spark.conf.set(key, before)
 
 
+#: Rows of a looked-up table that are broadcast, and rows of one key from which it counts as hot.
+BROADCAST_ROWS, HOT_ROWS = 1 << 18, 1 << 20
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", wide: str | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and, as ``rows``, an upper bound or estimate of the key's rows on the other side.
+
+    The table is counted. Up to ``BROADCAST_ROWS`` rows (with text in the column ``wide``: up to 64 bytes for each of so many) it is broadcast. Beyond that its hot keys alone, of ``HOT_ROWS`` rows or more, are, of which there are
+    at most as many as the input has rows over ``HOT_ROWS``; all others are shuffled, so no task reads more than about that many rows of one key.
+    """
+    size = table.agg(F.greatest(F.count("*"), F.coalesce(F.sum(F.octet_length(wide)) / 64, F.lit(0)))).first()[0] if wide else table.limit(BROADCAST_ROWS + 1).count()
+    if size <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop("rows")), on, how)
+    hot = table.where(F.col("rows") >= HOT_ROWS).drop("rows")
+    if not hot.limit(1).count():
+        return rows.join(table.drop("rows"), on, how)
+    rest = table.where(F.col("rows") < HOT_ROWS).drop("rows")
+    if how == "inner":
+        return rows.join(F.broadcast(hot), on).unionByName(rows.join(rest, on))
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(rest, on, how)
+    return rows.join(F.broadcast(hot), on).unionByName(cold.select(rows.join(F.broadcast(hot), on).columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

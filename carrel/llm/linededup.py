@@ -1,13 +1,24 @@
 """Line dedup by a log-template tree, in DataFrame functions only.
 
-A line's words that hold a digit are variable fields. The tree has a fixed depth: the number of words, then the
-first ``LEAD`` words; below each leaf are its distinct lines. Where a leaf of at least ``WIDE`` words has several, its template takes at each
-position the word that most of them have, and the lines that agree with it on at least ``ALIKE`` of the positions are
-that template; the other positions are variable. Any other line is a template of its own, with variable fields masked.
-
-A template recurs if it occurs in at least ``FEW`` documents, or ``MANY`` where it has fewer than ``LONG`` words, since short lines meet by
-chance. Lines of recurring templates are dropped. A document whose recurring lines hold half its words or more is itself a copy,
-not a page with boilerplate: dropping would empty all its copies, so it is left whole, for near-duplicate removal.
+A line is what stands between two line feeds, trimmed of blanks; its words are parted by single blanks. A template is a line some of whose words are
+variable fields. It fixes at least ``need(n) = max(70 % of n, 5)`` of its n words, whatever its length, so a line of up to five words is its own template.
+
+* Words that hold a digit are variable fields, ``<*>``, if the other words are at least ``need(n)``; else the line stays as it is, so that unlike rows of
+  numbers stay unlike.
+* The tree has a fixed depth: the number of words, the first ``LEAD`` words, then one of the ``BANDS`` equal parts of the rest. So a leaf (words, lead) holds
+  as many groups as it holds different parts, and a line is in one group for each of its parts. One more path leaves the leading words open and
+  fixes all words behind them.
+* A group's first line (the least) founds its template, and the lines that agree with it on at least ``need(n)`` fixed words belong to it.
+
+A template recurs if it stands in at least two unlike documents, and its lines are dropped from every document that has them, whatever they leave of it.
+Copies of one document are not unlike: equal texts count once, and so do revised copies. A revised copy is a text of ``LEAST`` 5-word shingles or more, at least a
+tenth of whose words are in lines that stand in two texts or more. It is held against the text with the least doc_id that shares one of
+``HASHES`` min-hashes with it, which stands for it if the Jaccard similarity of their shingles is 0.8 or more, or if it is 0.5 or more and what they have
+beside such lines is alike, too: nothing in one of them, or at least half of the fewer words of the two. (Short pages that share a long footer alone
+are no copies.) Nothing is removed on that ground: it only says that two copies are no evidence that a line recurs. So copies keep what they share with
+one another alone, and which of them stays is left to near-duplicate removal.
+
+Lines and texts are told apart by two 64-bit hashes with different seeds.
 """
 
 from __future__ import annotations
@@ -15,70 +26,165 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carrel.llm.common import stored
+from carrel.llm.common import WORD, spread_join, stored
 
-LEAD, WIDE, ALIKE = 3, 8, 0.7
-LONG, FEW, MANY = 12, 2, 10
-#: Leaves up to this many are broadcast to pick lines; beyond it the lines are joined.
-BROADCAST_LEAVES = 1 << 20
+LEAD, BANDS, ALIKE, FIXED = 3, 4, 7, 5
+HASHES, SHINGLE, LEAST = 3, 5, 16
+#: Per cent of shingles in common that make a revised copy, and that do where the rest is alike.
+NEAR, HALF = 80, 50
+KEYS = ["leaf", "tail", *(f"b{k}" for k in range(BANDS))]
+_HEX = 10  # hex digits of a min-hash
+#: Texts that are compared with one text in one task.
+PER_TASK = 256
 
 
-def _masked(line: Column) -> Column:
-    """The line with words that hold a digit as <*>. Words are parted by blanks."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(^| )[^ 0-9]*+[0-9][^ ]*+", "$1<*>")).otherwise(line)
+def need(n: Column) -> Column:
+    """How many of ``n`` words a template fixes at least."""
+    return F.greatest(F.ceil(ALIKE * n / F.lit(10)), F.lit(FIXED))
+
+
+def _two(*columns) -> list[Column]:
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("2"), *columns)]
 
 
 def _lines(docs: DataFrame, *more: Column) -> DataFrame:
-    """A row per line that is not blank: pos, line (trimmed), n (its words) and leaf, after the columns ``more``."""
+    """A row per line that is not blank: pos, n (its words) and line, with its variable fields, after the columns ``more``."""
     d = docs.select(*more, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return d.withColumn("n", n).withColumn("leaf", F.xxhash64("n", _masked(F.substring_index("line", " ", LEAD))))
+    d = d.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    masked = F.when((F.col("n") > FIXED) & F.col("line").rlike("[0-9]"), F.regexp_replace("line", "(^| )[^ 0-9]*+[0-9][^ ]*+", "$1<*>"))
+    d = d.withColumn("masked", masked)
+    fields = (F.length("masked") - F.length(F.replace("masked", F.lit("<*>"), F.lit("")))) / 3
+    return d.withColumn("line", F.when(F.col("n") - fields >= need(F.col("n")), F.col("masked")).otherwise(F.col("line"))).drop("masked")
 
 
-def _recurring(docs_of: Column, n: Column) -> Column:
-    return docs_of >= F.when(n >= LONG, FEW).otherwise(MANY)
+def _paths(words: Column, n: Column) -> list[Column]:
+    """The leaf of a line and its groups, as hashes of their paths; null where it has no room for a variable field."""
+    lead = F.slice(words, 1, LEAD)
+    cut = [(F.floor(k * (n - LEAD) / F.lit(BANDS)) + LEAD).cast("int") for k in range(BANDS + 1)]
+    bands = [F.xxhash64(F.lit(k), n, lead, F.slice(words, cut[k] + 1, cut[k + 1] - cut[k])) for k in range(BANDS)]
+    paths = [F.xxhash64(F.lit("leaf"), n, lead), F.xxhash64(F.lit("tail"), n, F.slice(words, LEAD + 1, F.greatest(n - LEAD, F.lit(1)))), *bands]
+    return [F.when(n > FIXED, c).alias(k) for c, k in zip(paths, KEYS, strict=True)]
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), pos, n, leaf and h (hash of the masked line) of each line, written to the shared folder."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return stored(_lines(d, F.col("doc_id"), F.col("th")).select("doc_id", "th", "pos", "n", "leaf", F.xxhash64(_masked(F.col("line"))).alias("h")), "lines")
-
-
-def templates(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """h (hash of a masked line) and template (null: the line itself) of all lines that recur. ``table``: ``line_table(docs)``."""
-    seen = table.groupBy("doc_id", "h").agg(F.min("n").alias("n"), F.min("leaf").alias("leaf"))
-    lines = stored(seen.groupBy("h").agg(F.min("n").alias("n"), F.min("leaf").alias("leaf"), F.count("*").alias("docs")), "distinct-lines")
-    single = lines.where(_recurring(F.col("docs"), F.col("n"))).select("h", F.lit(None).cast("long").alias("template"))
-    wide = stored(lines.where(F.col("n") >= WIDE).groupBy("leaf").agg(F.count("*").alias("kinds")).where("kinds > 1").select("leaf"), "leaves")
-    picked = F.broadcast(wide) if wide.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES else wide
-    kinds = _lines(docs).where(F.col("n") >= WIDE).join(picked, "leaf", "left_semi").select("leaf", "n", _masked(F.col("line")).alias("line"))
-    kinds = stored(kinds.groupBy("leaf", F.xxhash64("line").alias("h")).agg(F.min("line").alias("line"), F.min("n").alias("n")), "kinds")
-    words = kinds.select("leaf", "h", "n", F.split("line", " ", -1).alias("words"))
-    at = words.select("leaf", F.posexplode("words").alias("pos", "word")).groupBy("leaf", "pos", "word").agg(F.count("*").alias("c"))
-    modal = at.groupBy("leaf", "pos").agg(F.max(F.struct("c", "word"))["word"].alias("word"))
-    model = modal.groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("model"))
-    alike = F.aggregate(F.zip_with("words", "model", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    fits = stored(words.join(model, "leaf").where(alike >= F.ceil(F.lit(ALIKE) * F.col("n"))).select("h", F.col("leaf").alias("template"), "n"), "fits")
-    held = table.select("doc_id", "h").join(fits, "h").select("doc_id", "template", "n").distinct().groupBy("template").agg(F.count("*").alias("docs"), F.min("n").alias("n"))
-    merged = held.where(_recurring(F.col("docs"), F.col("n"))).select("template")
-    return single.unionByName(fits.select("h", "template").join(merged, "template", "left_semi").select("h", "template"))
+    """doc_id, t1 and t2 (the text), pos, n, h1 and h2 (the line) and its groups, for each line; written to the shared folder."""
+    t1, t2 = _two("text")
+    rows = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), "text"), *(F.col(c) for c in ("doc_id", "t1", "t2")))
+    h1, h2 = _two("line")
+    rows = rows.withColumn("words", F.split("line", " ", -1))
+    return stored(rows.select("doc_id", "t1", "t2", "pos", "n", h1.alias("h1"), h2.alias("h2"), *_paths(F.col("words"), F.col("n"))), "lines")
+
+
+def _fits(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """h1, h2 and key of each line that belongs to the template of the group ``key``, for groups in two texts or more.
+
+    ``lines``: the distinct lines with their groups, c (how often), lo and hi (the least and the greatest of their texts).
+    """
+    named = ["h1", "h2", "c", "lo", "hi"]
+    wide = lines.where("leaf IS NOT NULL")
+    # Only lines that are not alone in their leaf are looked for in its groups.
+    several = stored(wide.select(F.explode(F.array("leaf", "tail")).alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "leaves")
+    by_leaf = spread_join(wide.select(F.col("leaf").alias("key"), *named, *KEYS[2:]), several, ["key"]).select(F.explode(F.array(*KEYS[2:])).alias("key"), *named)
+    by_tail = spread_join(wide.select(F.col("tail").alias("key"), *named), several, ["key"])
+    at = stored(by_leaf.unionByName(by_tail.select("key", *named)), "paths")
+    groups = at.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor("h1").alias("all"), F.count("*").alias("kinds")).where("a < b AND lo < hi")
+    # Groups of the same lines have the same template: one of them will do.
+    groups = stored(groups.groupBy("a", "b", "all", "kinds").agg(F.min("key").alias("key")).select("key", F.col("kinds").alias("rows")), "groups")
+    members = stored(spread_join(at, groups, ["key"]).select("key", *named), "members")
+    wanted = stored(members.groupBy("h1", "h2").agg(F.max("c").alias("rows")), "wanted")
+    h1, h2 = _two("line")
+    kinds = spread_join(_lines(docs.select("text")).where(F.col("n") > FIXED).select(h1.alias("h1"), h2.alias("h2"), "line"), wanted, ["h1", "h2"])
+    kinds = kinds.groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    kinds = stored(members.join(kinds, ["h1", "h2"]), "kinds")
+    first = stored(kinds.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("rows")), "founders")
+    a, b = F.split("line", " ", -1), F.split("first", " ", -1)
+    agree = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != "<*>"), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    fits = spread_join(kinds, first, ["key"], wide="first").where((F.size(a) == F.size(b)) & (agree >= need(F.size(a)))).select("key", *named)
+    return stored(fits, "fits")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+
+
+def _shingles(words: Column) -> Column:
+    """Distinct shingles of a text, words parted by one blank; of fewer words than ``SHINGLE`` the whole sequence."""
+    last = F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
+
+
+def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame:
+    """t1, t2 and family (t1 of the text that stands for it) of each revised copy. ``shared``: the lines of ``table`` that stand in two texts or more."""
+    held = shared.groupBy("t1", "t2").agg(F.sum("n").alias("words"), F.collect_set("pos").alias("at"))
+    whole = table.groupBy("t1", "t2").agg(F.sum("n").alias("total"), F.min("doc_id").alias("id"))
+    suspects = stored(whole.join(held, ["t1", "t2"]).where("10 * words >= total AND id IS NOT NULL").select("t1", "t2", "id", "at"), "suspects")
+    t1, t2 = _two("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text"))
+    texts = spread_join(texts, suspects.withColumn("rows", F.lit(1)), ["t1", "t2", "id"])
+    own = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("at"), i)), "\n")
+    # A column for each step: what stands in a lambda is worked out for each element.
+    texts = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words"), F.array_distinct(_words(own)).alias("own")).withColumn("s", _shingles(F.col("words")))
+    marks = texts.withColumn("md5", F.transform("s", lambda x: F.md5(x.cast("binary"))))
+    part = lambda k: F.transform("md5", lambda x: F.substring(x, 1 + _HEX * k, _HEX))
+    least = [F.array_min(part(k)) for k in range(HASHES)]
+    texts = stored(marks.select("t1", "t2", "id", "own", F.transform("s", lambda x: F.xxhash64(x)).alias("s"), F.array(*least).alias("m")).dropDuplicates(["t1", "t2"]), "suspected").where(F.size("s") >= LEAST)
+    at = texts.select("t1", "t2", "id", F.posexplode("m").alias("k", "m"))
+    rep = at.groupBy("k", "m").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
+    pairs = spread_join(at, stored(rep, "reps"), ["k", "m"]).where("rep < id").select("t1", "t2", "rep").distinct()
+    # A text that stands for many is sent to as many tasks as they take.
+    turns = pairs.groupBy("rep").agg(F.count("*").alias("rows")).withColumn("turns", F.ceil(F.col("rows") / PER_TASK))
+    pairs = stored(spread_join(pairs, stored(turns, "turns"), ["rep"]).select("t1", "t2", "rep", F.pmod(F.xxhash64("t1"), F.col("turns")).alias("turn")), "pairs")
+    of = pairs.select("rep", "turn").distinct().join(texts.select(F.col("id").alias("rep"), F.col("s").alias("s_rep"), F.col("own").alias("own_rep")), "rep")
+    both = pairs.join(texts.select("t1", "t2", "s", "own"), ["t1", "t2"]).join(of, ["rep", "turn"])
+    both = both.select("t1", "t2", "rep", F.size(F.array_intersect("s", "s_rep")).alias("same"), (F.size("s") + F.size("s_rep")).alias("total"), F.size(F.array_intersect("own", "own_rep")).alias("rest"), F.least(F.size("own"), F.size("own_rep")).alias("least"))
+    near = both.where(f"100 * same >= {NEAR} * (total - same) OR 100 * same >= {HALF} * (total - same) AND 2 * rest >= least").groupBy("t1", "t2").agg(F.min("rep").alias("rep"))
+    near = near.join(texts.select(F.col("id").alias("rep"), F.col("t1").alias("family")).groupBy("rep").agg(F.min("family").alias("family")), "rep")
+    near = stored(near, "near")
+    # The text that stands for it may itself be a revised copy.
+    up = near.select(F.col("t1").alias("family"), F.col("family").alias("up"))
+    load = near.groupBy("family").agg(F.count("*").alias("rows"))
+    again = spread_join(near, up.join(load, "family"), ["family"]).select("t1", "t2", F.col("up").alias("u"))
+    return stored(near.join(again, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("u", "family").alias("family")), "families")
+
+
+def recurring(docs: DataFrame, table: DataFrame) -> DataFrame:
+    """doc_id, t1, t2 and pos of all lines of recurring templates. ``table``: ``line_table(docs)``."""
+    lines = table.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("t1").alias("lo"), F.max("t1").alias("hi"), *(F.min(k).alias(k) for k in KEYS))
+    lines = stored(lines, "distinct-lines")
+    fits = _fits(docs, lines)
+    wide = fits.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("rows")).where("lo < hi").select("key", "rows")
+    grouped = stored(spread_join(fits.select("key", "h1", "h2", "c"), wide, ["key"]).select("h1", "h2", "key", "c"), "grouped")
+    exact = lines.where("lo < hi").select("h1", "h2", F.lit(None).cast("long").alias("key"), "c")
+    candidates = stored(exact.unionByName(grouped), "candidates")
+    some = candidates.groupBy("h1", "h2").agg(F.max("c").alias("rows"))
+    shared = stored(spread_join(table.select("doc_id", "t1", "t2", "pos", "n", "h1", "h2"), some, ["h1", "h2"]).drop("rows"), "shared-lines")
+    families = _families(docs, table, shared)
+    load = shared.groupBy("t1", "t2").agg(F.count("*").alias("rows")).join(families, ["t1", "t2"])
+    copies = spread_join(shared, load, ["t1", "t2"], "left").select("h1", "h2", F.coalesce("family", "t1").alias("family"))
+    per_line = stored(copies.groupBy("h1", "h2").agg(F.min("family").alias("lo"), F.max("family").alias("hi")), "families-of-lines")
+    held = candidates.join(per_line, ["h1", "h2"])
+    found = held.where("key IS NULL AND lo < hi").select("h1", "h2", "c")
+    kept = held.where("key IS NOT NULL").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows")
+    more = spread_join(grouped, stored(kept, "recurring-groups"), ["key"]).select("h1", "h2", "c")
+    drop = stored(found.unionByName(more).groupBy("h1", "h2").agg(F.max("c").alias("rows")), "recurring")
+    return spread_join(shared, drop, ["h1", "h2"]).select("doc_id", "t1", "t2", "pos")
 
 
 def without_recurring(docs: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs``; ``text`` without recurring lines; added: n_lines, n_dropped.
+    """All rows and columns of ``docs``; ``text`` without the lines of recurring templates; added: n_lines, n_dropped.
 
-    A blank line stays. A null or empty text stays as it is, with 0 dropped. Rows that share a doc_id are one document when
-    documents are counted, and each is cleaned. Rows with a null doc_id are one document, too. Clashing columns
-    n_lines and n_dropped of the input are replaced.
+    A blank line stays. A text all of whose lines recur is empty then. A null or empty text stays as it is, with 0 dropped. Documents are
+    told apart by their texts, so rows that share a doc_id, or have none, need no rule; each is cleaned. A text whose rows all have a null
+    doc_id counts as a document of its own, also where it is a revised copy. Clashing columns n_lines and n_dropped of the input are replaced.
+    An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
     table = line_table(docs)
-    hit = stored(templates(docs, table).select("h").distinct(), "recurring").withColumn("hit", F.lit(True))
-    by_text = table.join(hit, "h", "left").groupBy("doc_id", "th").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("hit"), F.col("n"))).alias("words"), F.collect_set(F.when(F.col("hit"), F.col("pos"))).alias("_drop"))
-    drop = by_text.where(2 * F.col("words") < F.col("total")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_drop")
+    drop = recurring(docs, table).groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("_drop"))
+    drop = drop.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_drop")
     text = F.col("text").cast("string")
-    d = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_th")), "left")
+    t1, t2 = _two(docs["text"])
+    d = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
@@ -86,24 +192,44 @@ def without_recurring(docs: DataFrame) -> DataFrame:
     return d.select(*out, n_lines.cast("int").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"))
 
 
-#: The same rows in SQL.
-ORACLE = rf"""
+def _oracle() -> str:
+    need = f"greatest(({ALIKE} * n + 9) // 10, {FIXED})"
+    tail = f"'t:' || n || ':' || array_to_string(words[{LEAD + 1}:], ' ')"
+    at = [f"({LEAD} + ({k} * (n - {LEAD})) // {BANDS})" for k in range(BANDS + 1)]
+    bands = ", ".join(f"'b{k}:' || n || ':' || array_to_string(words[1:{LEAD}], ' ') || ':' || array_to_string(words[{at[k]} + 1:{at[k + 1]}], ' ')" for k in range(BANDS))
+    mins = ", ".join(f"list_min(list_transform(s, lambda x: substring(md5(x), {1 + _HEX * k}, {_HEX})))" for k in range(HASHES))
+    words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + WORD + "')"
+    return rf"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS raws FROM documents),
-l AS (SELECT doc_id, unnest(raws) AS raw, generate_subscripts(raws, 1) AS pos FROM raw),
-s0 AS (SELECT doc_id, pos, raw, trim(raw, ' ') AS line FROM l),
-s1 AS (SELECT doc_id, pos, regexp_replace(line, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g') AS line FROM s0 WHERE line <> ''),
-s AS (SELECT DISTINCT doc_id, line, string_split(line, ' ') AS words, len(string_split(line, ' ')) AS n FROM s1),
-u AS (SELECT line, any_value(words) AS words, any_value(n) AS n, count(*) AS docs FROM s GROUP BY line),
-f AS (SELECT *, array_to_string(words[1:{LEAD}], ' ') AS lead FROM u WHERE n >= {WIDE}),
-k AS (SELECT * FROM f WHERE (n, lead) IN (SELECT (n, lead) FROM f GROUP BY n, lead HAVING count(*) > 1)),
-p AS (SELECT n, lead, line, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM k),
-c AS (SELECT n, lead, pos, word, count(*) AS c FROM p GROUP BY ALL),
-o AS (SELECT n, lead, pos, word FROM c QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY c DESC, word DESC) = 1),
-a AS (SELECT n, lead, line FROM p JOIN o USING (n, lead, pos, word) GROUP BY ALL HAVING count(*) >= ceil({ALIKE} * n)),
-t AS (SELECT n, lead FROM a JOIN s USING (line, n) GROUP BY n, lead HAVING count(DISTINCT doc_id) >= CASE WHEN n >= {LONG} THEN {FEW} ELSE {MANY} END),
-g AS (SELECT line FROM u WHERE docs >= CASE WHEN n >= {LONG} THEN {FEW} ELSE {MANY} END UNION SELECT line FROM a JOIN t USING (n, lead)),
-h AS (SELECT doc_id, pos, n, g.line IS NOT NULL AS hit FROM s1 JOIN s USING (doc_id, line) LEFT JOIN g USING (line)),
-d AS (SELECT doc_id, 2 * sum(n) FILTER (hit) < sum(n) AS cut FROM h GROUP BY doc_id),
-m AS (SELECT l.doc_id, string_agg(raw, chr(10) ORDER BY l.pos) FILTER (NOT coalesce(hit, FALSE)) AS rest, count(*) AS n_lines, count(*) FILTER (hit) AS hits FROM l LEFT JOIN h USING (doc_id, pos) GROUP BY l.doc_id)
-SELECT doc_id, CASE WHEN cut THEN rest ELSE text END AS text, coalesce(n_lines, 0)::INT AS n_lines, (CASE WHEN cut THEN hits ELSE 0 END)::INT AS n_dropped FROM raw LEFT JOIN d USING (doc_id) LEFT JOIN m USING (doc_id)
+l AS (SELECT doc_id, text, unnest(raws) AS raw, generate_subscripts(raws, 1) AS pos FROM raw),
+s0 AS (SELECT doc_id, text, pos, trim(raw, ' ') AS line, len(string_split(trim(raw, ' '), ' ')) AS n FROM l WHERE trim(raw, ' ') <> ''),
+s1 AS (SELECT *, regexp_replace(line, '(^| )[^ 0-9]*[0-9][^ ]*', '\1<*>', 'g') AS masked FROM s0),
+s AS (SELECT doc_id, text, pos, n, line AS own, CASE WHEN line <> masked AND n - (length(masked) - length(replace(masked, '<*>', ''))) / 3 >= {need} THEN masked ELSE line END AS line FROM s1),
+u AS (SELECT DISTINCT line, n, string_split(line, ' ') AS words FROM s),
+k AS (SELECT line, n, words, unnest([{tail}, {bands}]) AS key FROM u WHERE n > {FIXED}),
+f AS (SELECT key, min(line) AS first FROM k GROUP BY key HAVING count(*) > 1),
+c AS (SELECT line, key, n, words, string_split(first, ' ') AS model FROM k JOIN f USING (key)),
+a AS (SELECT line, key FROM c WHERE len(list_filter(list_zip(words, model), lambda x: x[1] = x[2] AND x[1] <> '<*>')) >= {need}),
+m AS (SELECT line, 'x' || line AS key FROM u UNION ALL SELECT line, key FROM a),
+t AS (SELECT DISTINCT m.key, m.line, s.text FROM m JOIN s USING (line)),
+g AS (SELECT key FROM t GROUP BY key HAVING count(DISTINCT text) > 1),
+sl AS (SELECT DISTINCT line FROM t JOIN g USING (key)),
+w AS (SELECT s.text, min(doc_id) AS id, list(own) FILTER (sl.line IS NULL) AS own FROM s LEFT JOIN sl USING (line) GROUP BY s.text HAVING 10 * coalesce(sum(n) FILTER (sl.line IS NOT NULL), 0) >= sum(n)),
+w1 AS (SELECT id, text, {words.format('text')} AS words, list_distinct({words.format("array_to_string(coalesce(own, []), ' ')")}) AS own FROM w),
+w2 AS (SELECT id, text, own, list_distinct(list_transform(range(1, greatest(len(words) - {SHINGLE - 2}, 2)), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' '))) AS s FROM w1 WHERE len(words) >= {LEAST}),
+w2b AS (SELECT * FROM w2 WHERE len(s) >= {LEAST}),
+w3 AS (SELECT id, unnest([{mins}]) AS h, generate_subscripts([{mins}], 1) AS j FROM w2b),
+w4 AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY j, h) AS rep FROM w3),
+w5 AS (SELECT x.id, x.rep, len(list_intersect(p.s, q.s)) AS same, len(p.s) + len(q.s) AS total, len(list_intersect(p.own, q.own)) AS rest, least(len(p.own), len(q.own)) AS fewer FROM w4 x JOIN w2b p ON p.id = x.id JOIN w2b q ON q.id = x.rep WHERE x.rep < x.id),
+w6 AS (SELECT id, min(rep) AS rep FROM w5 WHERE 100 * same >= {NEAR} * (total - same) OR (100 * same >= {HALF} * (total - same) AND 2 * rest >= fewer) GROUP BY id),
+w7 AS (SELECT x.id, coalesce(y.rep, x.rep) AS rep FROM w6 x LEFT JOIN w6 y ON y.id = x.rep),
+e AS (SELECT w.text, 'f' || rep AS family FROM w7 JOIN w ON w.id = w7.id UNION ALL SELECT text, 'f' || id FROM w WHERE id NOT IN (SELECT id FROM w7)),
+r AS (SELECT key FROM t LEFT JOIN e USING (text) GROUP BY key HAVING count(DISTINCT coalesce(family, 't' || t.text)) > 1),
+h AS (SELECT DISTINCT doc_id, text, pos FROM s JOIN m USING (line) WHERE m.key IN (FROM r)),
+o AS (SELECT l.doc_id, l.text, string_agg(raw, chr(10) ORDER BY pos) FILTER (h.pos IS NULL) AS rest, count(*) FILTER (h.pos IS NOT NULL) AS hits FROM l LEFT JOIN h USING (doc_id, text, pos) GROUP BY ALL)
+SELECT doc_id, CASE WHEN hits > 0 THEN coalesce(rest, '') ELSE text END AS text, coalesce(len(raws), 0)::INT AS n_lines, coalesce(hits, 0)::INT AS n_dropped FROM raw LEFT JOIN o USING (doc_id, text)
 """
+
+
+#: The same rows in SQL.
+ORACLE = _oracle()

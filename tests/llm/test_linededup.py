@@ -1,31 +1,60 @@
+import random
+
+import duckdb
+import pytest
+
 from carrel.llm import linededup as ld
 
-ROWS = [
-    (1, "Own line number one is here with words of its own kind, and it goes on for a good while more, so that most is own.\nAccept all cookies on this site to go on reading the text of today, user 17 please."),
-    (2, "Another own line stands here and is like nothing else at all, and it goes on for a good while more, so that most is own.\nAccept all cookies on this site to go on reading the text of today, user 99 please."),
-    (3, "A third one, not the same as the others by far, I would say, and it goes on and on for a while more, so that most is own.\nAccept all cookies on this site to go on reading the text of tomorrow, user 5 please.\n"),
-    (4, "This page is a copy of the page that follows it, word for word and mark for mark, long enough."),
-    (5, "This page is a copy of the page that follows it, word for word and mark for mark, long enough."),
-    (6, "Short.\nA line that is alone in the corpus and that nobody has ever copied from here or there."),
-    (7, "Short.\nOne more line that is alone in the corpus and that nobody has copied from anywhere."),
-]
-
-
-def test_templates(spark):
-    out = {r.doc_id: r for r in ld.without_recurring(spark.createDataFrame(ROWS, "doc_id long, text string")).collect()}
-    texts = dict(ROWS)
-    # Numbers are masked, and one differing word is generalised by the tree.
-    assert out[1].text == texts[1].split("\n")[0] and out[2].n_dropped == 1
-    assert out[3].text == texts[3].split("\n")[0] + "\n"
-    # Copies are left whole; short lines need more documents.
-    assert out[4].text == texts[4] and out[5].n_dropped == 0
-    assert out[6].text == texts[6] and out[7].text == texts[7]
-
-
-def test_short_lines_recur_in_many_documents(spark):
-    rows = [(i, f"Share this page\nThe words of document {chr(97 + i)} are {' '.join(chr(97 + i) * k for k in range(1, 15))}") for i in range(12)]
-    out = ld.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert all(r.n_dropped == 1 and "Share" not in r.text for r in out)
+FOOTER = "Accept all cookies on this site to go on reading the text of today with us please."
+
+
+def own(i: int, n: int) -> str:
+    """A line of ``n`` words that no other document has."""
+    r = random.Random(i)
+    return " ".join("".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(4)) for _ in range(n))
+
+
+def cleaned(spark, texts):
+    rows = list(enumerate(texts))
+    return {r.doc_id: r for r in ld.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+NAMES = [own(1000 + i, 1) for i in range(60)]
+CASES = {
+    "a footer on short pages": [f"{own(i, 6)}\n{FOOTER}" for i in range(20)],
+    "a footer on long pages": [f"{own(i, 30)}\n{FOOTER}" for i in range(20)],
+    "a short template in nine documents": [f"{own(i, 20)}\nconnection from {NAMES[i]} closed by the server" for i in range(9)],
+    "a variable leading word": [f"{own(i, 20)}\nuser {NAMES[i]} logged in from home today" for i in range(40)],
+    "lines that are whole documents": [f"user {NAMES[i]} logged in from home today" for i in range(40)],
+    "two templates in a leaf": [f"{own(i, 20)}\nthe server has " + ("opened {} for reading by one of its own users" if i < 20 else "dropped {} because no room was left on disk").format(NAMES[i]) for i in range(40)],
+    "three templates in a leaf": [f"{own(i, 20)}\nthe server has " + ("opened {} for reading by one of its own users", "dropped {} because no room was left on disk", "moved everything away to {} before any copy began")[i // 20].format(NAMES[i]) for i in range(60)],
+    "variable fields in several places": [f"{own(i, 20)}\nPosted in the section {NAMES[i]} of our news by {NAMES[59 - i]} on a day in May {i}" for i in range(6)],
+}
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_recurring_templates_are_dropped_from_every_document(spark, case):
+    texts = CASES[case]
+    out = cleaned(spark, texts)
+    assert all(out[i].n_dropped == 1 and out[i].text == "\n".join(t.split("\n")[:-1]) for i, t in enumerate(texts))
+
+
+def test_rows_of_unlike_numbers_stay(spark):
+    rows = [" ".join(str(random.Random(i).randint(10, 99) + 100 * j * i) for j in range(12)) for i in range(2)]
+    texts = [f"{own(i, 20)}\n{rows[i]}" for i in range(2)]
+    assert all(out.n_dropped == 0 and out.text == texts[i] for i, out in cleaned(spark, texts).items())
+    same = cleaned(spark, [f"{own(i, 20)}\n{rows[0]}" for i in range(2)])
+    assert all(out.n_dropped == 1 for out in same.values())
+
+
+def test_copies_are_no_evidence(spark):
+    page = "\n".join(own(100 + i, 12) for i in range(5))
+    revised = page.replace(page.split()[20], "revised")
+    out = cleaned(spark, [page, page, revised, own(7, 30)])
+    assert [out[i].text for i in range(3)] == [page, page, revised]
+    # What they share with others goes from all of them.
+    out = cleaned(spark, [f"{page}\n{FOOTER}", f"{page}\n{FOOTER}", f"{revised}\n{FOOTER}", f"{own(7, 30)}\n{FOOTER}"])
+    assert [out[i].text for i in range(4)] == [page, page, revised, own(7, 30)]
 
 
 def test_oddities(spark, docs, empty):
@@ -38,3 +67,28 @@ def test_oddities(spark, docs, empty):
     assert twice == out.columns
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_null_ids_and_empty_results(spark):
+    rows = [(None, FOOTER), (None, FOOTER), (None, f"{own(1, 20)}\n{FOOTER}"), (5, f"{own(2, 20)}\n\n{FOOTER}")]
+    out = ld.without_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in out) == sorted([(0, "", 1), (0, "", 1), (0, own(1, 20), 1), (5, own(2, 20) + "\n", 1)])
+
+
+def test_the_sql_on_the_cases(spark):
+    texts = [t for case in sorted(CASES) for t in CASES[case]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    ours = sorted(tuple(r) for r in ld.without_recurring(docs).select("doc_id", "text", "n_lines", "n_dropped").collect())
+    assert ours == sorted(con.sql(ld.ORACLE).fetchall())
+
+
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    from carrel.llm import common
+
+    want = {i: r.text for i, r in cleaned(spark, CASES["two templates in a leaf"]).items()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert {i: r.text for i, r in cleaned(spark, CASES["two templates in a leaf"]).items()} == want
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert {i: r.text for i, r in cleaned(spark, CASES["two templates in a leaf"]).items()} == want
