@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -25,6 +26,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 _WRITTEN: list[str] = []
+#: Seconds between two collections that ``stored`` asks for.
+_PAUSE = 5.0
+_last = 0.0
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -33,10 +37,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     Spark deletes the shuffle files of the plan once the driver's JVM has collected it; asking for that here keeps
     the disk that a job takes to about that of its largest step.
     """
+    global _last
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     _WRITTEN.append(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    if time.monotonic() - _last > _PAUSE:
+        df.sparkSession.sparkContext._jvm.System.gc()
+        _last = time.monotonic()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -72,13 +79,13 @@ def small_batches(spark: SparkSession, rows: int = 2000):
 BROADCAST_ROWS, HOT_ROWS = 1 << 18, 1 << 20
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", wide: str | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", wide=None) -> DataFrame:
     """``rows`` joined with ``table``, which has one row per key and, as ``rows``, an upper bound or estimate of the key's rows on the other side.
 
-    The table is counted. Up to ``BROADCAST_ROWS`` rows (with text in the column ``wide``: up to 64 bytes for each of so many) it is broadcast. Beyond that its hot keys alone, of ``HOT_ROWS`` rows or more, are, of which there are
+    The table is counted. Up to ``BROADCAST_ROWS`` rows (of 64 bytes; ``wide`` is a Column with the bytes of a row that has more) it is broadcast. Beyond that its hot keys alone, of ``HOT_ROWS`` rows or more, are, of which there are
     at most as many as the input has rows over ``HOT_ROWS``; all others are shuffled, so no task reads more than about that many rows of one key.
     """
-    size = table.agg(F.greatest(F.count("*"), F.coalesce(F.sum(F.octet_length(wide)) / 64, F.lit(0)))).first()[0] if wide else table.limit(BROADCAST_ROWS + 1).count()
+    size = table.agg(F.greatest(F.count("*"), F.coalesce(F.sum(wide) / 64, F.lit(0)))).first()[0] if wide is not None else table.limit(BROADCAST_ROWS + 1).count()
     if size <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table.drop("rows")), on, how)
     hot = table.where(F.col("rows") >= HOT_ROWS).drop("rows")

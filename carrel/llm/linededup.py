@@ -13,7 +13,7 @@ variable fields. It fixes at least ``need(n) = max(70 % of n, 5)`` of its n word
 A template recurs if it stands in at least two unlike documents, and its lines are dropped from every document that has them, whatever they leave of it.
 Copies of one document are not unlike: equal texts count once, and so do revised copies. A revised copy is a text of ``LEAST`` 5-word shingles or more, at least a
 tenth of whose words are in lines that stand in two texts or more. It is held against the text with the least doc_id that shares one of
-``HASHES`` min-hashes with it, which stands for it if the Jaccard similarity of their shingles is 0.8 or more, or if it is 0.5 or more and what they have
+four min-hashes with it (the least and the greatest md5 of a shingle, read forward or backward), which stands for it if the Jaccard similarity of their shingles is 0.8 or more, or if it is 0.5 or more and what they have
 beside such lines is alike, too: nothing in one of them, or at least half of the fewer words of the two. (Short pages that share a long footer alone
 are no copies.) Nothing is removed on that ground: it only says that two copies are no evidence that a line recurs. So copies keep what they share with
 one another alone, and which of them stays is left to near-duplicate removal.
@@ -29,11 +29,10 @@ from pyspark.sql import functions as F
 from carrel.llm.common import WORD, spread_join, stored
 
 LEAD, BANDS, ALIKE, FIXED = 3, 4, 7, 5
-HASHES, SHINGLE, LEAST = 3, 5, 16
+SHINGLE, LEAST = 5, 16
 #: Per cent of shingles in common that make a revised copy, and that do where the rest is alike.
 NEAR, HALF = 80, 50
 KEYS = ["leaf", "tail", *(f"b{k}" for k in range(BANDS))]
-_HEX = 10  # hex digits of a min-hash
 #: Texts that are compared with one text in one task.
 PER_TASK = 256
 
@@ -90,16 +89,16 @@ def _fits(docs: DataFrame, lines: DataFrame) -> DataFrame:
     groups = at.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor("h1").alias("all"), F.count("*").alias("kinds")).where("a < b AND lo < hi")
     # Groups of the same lines have the same template: one of them will do.
     groups = stored(groups.groupBy("a", "b", "all", "kinds").agg(F.min("key").alias("key")).select("key", F.col("kinds").alias("rows")), "groups")
-    members = stored(spread_join(at, groups, ["key"]).select("key", *named), "members")
-    wanted = stored(members.groupBy("h1", "h2").agg(F.max("c").alias("rows")), "wanted")
+    members = spread_join(at, groups, ["key"]).select("key", *named)
+    wanted = members.groupBy("h1", "h2").agg(F.max("c").alias("rows"))
     h1, h2 = _two("line")
     kinds = spread_join(_lines(docs.select("text")).where(F.col("n") > FIXED).select(h1.alias("h1"), h2.alias("h2"), "line"), wanted, ["h1", "h2"])
     kinds = kinds.groupBy("h1", "h2").agg(F.min("line").alias("line"))
     kinds = stored(members.join(kinds, ["h1", "h2"]), "kinds")
-    first = stored(kinds.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("rows")), "founders")
+    first = kinds.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("rows"))
     a, b = F.split("line", " ", -1), F.split("first", " ", -1)
     agree = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != "<*>"), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    fits = spread_join(kinds, first, ["key"], wide="first").where((F.size(a) == F.size(b)) & (agree >= need(F.size(a)))).select("key", *named)
+    fits = spread_join(kinds, first, ["key"], wide=F.octet_length("first")).where((F.size(a) == F.size(b)) & (agree >= need(F.size(a)))).select("key", *named)
     return stored(fits, "fits")
 
 
@@ -125,15 +124,19 @@ def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame
     # A column for each step: what stands in a lambda is worked out for each element.
     texts = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words"), F.array_distinct(_words(own)).alias("own")).withColumn("s", _shingles(F.col("words")))
     marks = texts.withColumn("md5", F.transform("s", lambda x: F.md5(x.cast("binary"))))
-    part = lambda k: F.transform("md5", lambda x: F.substring(x, 1 + _HEX * k, _HEX))
-    least = [F.array_min(part(k)) for k in range(HASHES)]
-    texts = stored(marks.select("t1", "t2", "id", "own", F.transform("s", lambda x: F.xxhash64(x)).alias("s"), F.array(*least).alias("m")).dropDuplicates(["t1", "t2"]), "suspected").where(F.size("s") >= LEAST)
+    marks = marks.withColumn("back", F.transform("md5", F.reverse))
+    ends = F.array(F.array_min("md5"), F.array_max("md5"), F.array_min("back"), F.array_max("back"))
+    texts = stored(marks.select("t1", "t2", "id", "own", F.transform("s", lambda x: F.xxhash64(x)).alias("s"), ends.alias("m")), "suspected").where(F.size("s") >= LEAST)
     at = texts.select("t1", "t2", "id", F.posexplode("m").alias("k", "m"))
     rep = at.groupBy("k", "m").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = spread_join(at, stored(rep, "reps"), ["k", "m"]).where("rep < id").select("t1", "t2", "rep").distinct()
+    pairs = spread_join(at, rep, ["k", "m"]).where("rep < id").select("t1", "t2", "rep").distinct()
     # A text that stands for many is sent to as many tasks as they take.
     turns = pairs.groupBy("rep").agg(F.count("*").alias("rows")).withColumn("turns", F.ceil(F.col("rows") / PER_TASK))
-    pairs = stored(spread_join(pairs, stored(turns, "turns"), ["rep"]).select("t1", "t2", "rep", F.pmod(F.xxhash64("t1"), F.col("turns")).alias("turn")), "pairs")
+    pairs = stored(spread_join(pairs, turns, ["rep"]).select("t1", "t2", "rep", F.pmod(F.xxhash64("t1"), F.col("turns")).alias("turn")), "pairs")
+    # From here on only the texts of pairs, each once.
+    paired = pairs.select("t1", "t2").unionByName(spread_join(texts, turns.drop("turns").withColumnRenamed("rep", "id"), ["id"]).select("t1", "t2")).distinct()
+    texts = spread_join(texts, paired.withColumn("rows", F.lit(1)), ["t1", "t2"]).groupBy("t1", "t2").agg(*(F.first(c).alias(c) for c in ("id", "s", "own")))
+    texts = stored(texts, "paired")
     of = pairs.select("rep", "turn").distinct().join(texts.select(F.col("id").alias("rep"), F.col("s").alias("s_rep"), F.col("own").alias("own_rep")), "rep")
     both = pairs.join(texts.select("t1", "t2", "s", "own"), ["t1", "t2"]).join(of, ["rep", "turn"])
     both = both.select("t1", "t2", "rep", F.size(F.array_intersect("s", "s_rep")).alias("same"), (F.size("s") + F.size("s_rep")).alias("total"), F.size(F.array_intersect("own", "own_rep")).alias("rest"), F.least(F.size("own"), F.size("own_rep")).alias("least"))
@@ -153,7 +156,7 @@ def recurring(docs: DataFrame, table: DataFrame) -> DataFrame:
     lines = stored(lines, "distinct-lines")
     fits = _fits(docs, lines)
     wide = fits.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("rows")).where("lo < hi").select("key", "rows")
-    grouped = stored(spread_join(fits.select("key", "h1", "h2", "c"), wide, ["key"]).select("h1", "h2", "key", "c"), "grouped")
+    grouped = spread_join(fits.select("key", "h1", "h2", "c"), wide, ["key"]).select("h1", "h2", "key", "c")
     exact = lines.where("lo < hi").select("h1", "h2", F.lit(None).cast("long").alias("key"), "c")
     candidates = stored(exact.unionByName(grouped), "candidates")
     some = candidates.groupBy("h1", "h2").agg(F.max("c").alias("rows"))
@@ -165,7 +168,7 @@ def recurring(docs: DataFrame, table: DataFrame) -> DataFrame:
     held = candidates.join(per_line, ["h1", "h2"])
     found = held.where("key IS NULL AND lo < hi").select("h1", "h2", "c")
     kept = held.where("key IS NOT NULL").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows")
-    more = spread_join(grouped, stored(kept, "recurring-groups"), ["key"]).select("h1", "h2", "c")
+    more = spread_join(grouped, kept, ["key"]).select("h1", "h2", "c")
     drop = stored(found.unionByName(more).groupBy("h1", "h2").agg(F.max("c").alias("rows")), "recurring")
     return spread_join(shared, drop, ["h1", "h2"]).select("doc_id", "t1", "t2", "pos")
 
@@ -197,7 +200,8 @@ def _oracle() -> str:
     tail = f"'t:' || n || ':' || array_to_string(words[{LEAD + 1}:], ' ')"
     at = [f"({LEAD} + ({k} * (n - {LEAD})) // {BANDS})" for k in range(BANDS + 1)]
     bands = ", ".join(f"'b{k}:' || n || ':' || array_to_string(words[1:{LEAD}], ' ') || ':' || array_to_string(words[{at[k]} + 1:{at[k + 1]}], ' ')" for k in range(BANDS))
-    mins = ", ".join(f"list_min(list_transform(s, lambda x: substring(md5(x), {1 + _HEX * k}, {_HEX})))" for k in range(HASHES))
+    md5, back = "list_transform(s, lambda x: md5(x))", "list_transform(s, lambda x: reverse(md5(x)))"
+    mins = f"list_min({md5}), list_max({md5}), list_min({back}), list_max({back})"
     words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + WORD + "')"
     return rf"""
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS raws FROM documents),
