@@ -1,13 +1,12 @@
 """Packing token sequences by harmonic classes.
 
-With capacity C, class k holds pieces of length in (C/(k+1), C/k], and a bin of the class holds k pieces. Cutting is
-free, so a document is cut to full sequences of C, then to the pieces C/2, C/4, ... down to ``least``, which fill
-the bins of classes 2, 4, ... without a gap, and one tail shorter than ``least``, which goes to the class of its length.
-A bin is closed when it has its class's count of pieces. Classes share nothing and each
-worker numbers its own bins, so no row is shuffled.
-
-At a worker's end the bins that are still open (at most one a class) are laid end to end and cut at C; what remains
-of that line is cut at powers of two, which need no padding.
+With capacity C, class k holds the documents of C/(k+1) < length <= C/k, whole, and a bin of the class is closed when it has its k documents. There are fewer
+than 2 * sqrt(C) classes. Cutting is free, so the gap that they leave is filled with a piece of a document that is longer than C and must be cut anyway; such documents
+wait in line, the first of them being cut to measure, and what is in the line beyond ``RESERVE`` sequences is cut to full ones. Where
+no long document comes, at most ``MOST_WAITING`` closed bins wait for one; then the next documents go into the line, whatever their length.
+So a document of up to C is whole but for these, and for those at a worker's end. Classes share nothing and each worker numbers its own bins, so no row is shuffled.
+
+At a worker's end what is open, waiting and in line is laid end to end and cut at C; what remains of that is cut at powers of two, which need no padding. So no sequence has any.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CAPACITY, LEAST, END = 2048, 64, 1
+CAPACITY, END = 2048, 1
+RESERVE, MOST_WAITING = 4, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _ENCODERS: dict[str, Callable[[str], list[int]]] = {}
@@ -83,30 +84,47 @@ def _ranks(spec: dict, added: set[str]) -> dict[bytes, int] | None:
 class Packer:
     """One worker's bins. ``add`` returns the rows of bins that are full; ``close`` those of the rest."""
 
-    def __init__(self, first_id: int, capacity: int = CAPACITY, least: int = LEAST):
-        self.next, self.capacity, self.least = first_id, capacity, least
+    def __init__(self, first_id: int, capacity: int = CAPACITY, reserve: int = RESERVE, most_waiting: int = MOST_WAITING):
+        self.next, self.capacity, self.reserve, self.most_waiting = first_id, capacity, reserve, most_waiting
+        # Pieces are (doc_id, start, ids, ids of the document).
         self.open: dict[int, list[tuple[int, int, np.ndarray, int]]] = {}
-
-    def pieces(self, n: int) -> Iterator[tuple[int, int]]:
-        """Start and length of each piece of ``n`` ids."""
-        at, size = 0, self.capacity
-        while size >= self.least:
-            while n - at >= size:
-                yield at, size
-                at += size
-            size //= 2
-        if at < n:
-            yield at, n - at
+        self.waiting: deque[list] = deque()  # bins with their count of documents
+        self.line: deque[tuple[int, int, np.ndarray, int]] = deque()
+        self.left = 0  # ids in line
 
     def add(self, doc_id, ids: np.ndarray) -> list[tuple]:
-        out = []
-        for at, size in self.pieces(len(ids)):
-            k = self.capacity // size
+        n = len(ids)
+        if not n:
+            return []
+        if n > self.capacity or len(self.waiting) >= self.most_waiting:
+            self.line.append((doc_id, 0, ids, n))
+            self.left += n
+        else:
+            k = self.capacity // n
             held = self.open.setdefault(k, [])
-            held.append((doc_id, at, ids[at : at + size], len(ids)))
+            held.append((doc_id, 0, ids, n))
             if len(held) == k:
-                out += self._bin(held)
-                self.open[k] = []
+                self.waiting.append(self.open.pop(k))
+        return self._full()
+
+    def _full(self) -> list[tuple]:
+        rows = []
+        while self.waiting and (gap := self.capacity - sum(len(p[2]) for p in self.waiting[0])) <= self.left:
+            rows += self._bin(self.waiting.popleft() + self._cut(gap))
+        while self.left >= (self.reserve + 1) * self.capacity:
+            rows += self._bin(self._cut(self.capacity))
+        return rows
+
+    def _cut(self, size: int) -> list[tuple[int, int, np.ndarray, int]]:
+        """The next ``size`` ids of the line, as pieces."""
+        out = []
+        self.left -= size
+        while size:
+            doc_id, at, ids, total = self.line.popleft()
+            out.append((doc_id, at, ids[:size], total))
+            if len(ids) > size:
+                self.line.appendleft((doc_id, at + size, ids[size:], total))
+            size -= min(size, len(ids))
         return out
 
     def _bin(self, held) -> list[tuple]:
@@ -118,36 +136,30 @@ class Packer:
         return rows
 
     def close(self) -> list[tuple]:
-        line = [p for k in sorted(self.open) for p in self.open[k]]
-        left, rows, held, room = sum(len(p[2]) for p in line), [], [], 0
-        for doc_id, at, ids, total in line:
-            done = 0
-            while done < len(ids):
-                if not room:
-                    room = self.capacity if left >= self.capacity else 1 << (left.bit_length() - 1)
-                n = min(room, len(ids) - done)
-                held.append((doc_id, at + done, ids[done : done + n], total))
-                done, room, left = done + n, room - n, left - n
-                if not room:
-                    rows += self._bin(held)
-                    held = []
-        self.open = {}
+        for held in (*self.waiting, *(self.open[k] for k in sorted(self.open))):
+            self.line.extend(held)
+            self.left += sum(len(p[2]) for p in held)
+        self.waiting.clear()
+        self.open.clear()
+        rows = []
+        while self.left:
+            rows += self._bin(self._cut(self.capacity if self.left >= self.capacity else 1 << (self.left.bit_length() - 1)))
         return rows
 
 
-def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, least: int = LEAST, end: int | None = END) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: int | None = END) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text counts as empty, so its document is the end id alone. Every row is a document of its own, also where
     rows share a doc_id. A text of any length is cut to as many pieces as it takes. Other columns are ignored. An empty
     table gives no rows. ``sequence_id`` is the worker's partition times 2^40 plus its count. ``capacity`` is a power of two.
     """
-    if capacity & (capacity - 1) or least & (least - 1) or least > capacity:
-        raise ValueError("capacity and least must be powers of two, least the smaller")
+    if capacity < 1 or capacity & (capacity - 1):
+        raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, tail = encoder(vocabulary), [] if end is None else [end]
-        packer = Packer(TaskContext.get().partitionId() << 40, capacity, least)
+        packer = Packer(TaskContext.get().partitionId() << 40, capacity)
         rows: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -55,17 +55,47 @@ def test_pack(spark, duck, tokenizer):
     assert sorted(map(str, out)) == sorted(map(str, pk.pack(d, vocabulary()).collect()))
 
 
+def packed(lengths, **options):
+    p, rows = pk.Packer(0, **options), []
+    for i, n in enumerate(lengths):
+        rows += p.add(i, np.zeros(n, "<u4"))
+        assert all(2048 // len(x[2]) == k and len(held) < k for k, held in p.open.items() for x in held)
+    before = len(rows)
+    return rows + p.close(), before, p.next
+
+
 def test_classes_have_fixed_counts():
-    p, rows = pk.Packer(0), []
-    for i in range(5000):
-        rows += p.add(i, np.zeros(1 + i * 7 % 3000, "<u4"))
-    count = {}
-    for r in rows:
-        count.setdefault(r[5], []).append(r[2])
-    for lengths in count.values():
-        assert len({2048 // n for n in lengths}) == 1 and len(lengths) == 2048 // lengths[0]
-    assert all(k <= 2048 for k in p.open)
-    p.close()
+    r = np.random.default_rng(3)
+    lengths = np.where(r.random(6000) < 0.3, r.integers(2049, 9000, 6000), r.integers(1, 2049, 6000)).tolist()
+    rows, before, bins = packed(lengths)
+    held, pieces = {}, {}
+    for row in rows[:before]:
+        held.setdefault(row[5], []).append(row)
+    for row in rows:
+        pieces.setdefault(row[0], []).append(row[2])
+    assert [sum(pieces[i]) for i in range(6000)] == lengths
+    # Bins hold whole documents of one class, as many as the class says, and pieces of longer ones in the gap.
+    for rs in held.values():
+        whole = [x[2] for x in rs if x[2] == x[4] <= 2048]
+        assert sum(x[2] for x in rs) == 2048 and len({2048 // n for n in whole}) <= 1 and (not whole or len(whole) == 2048 // whole[0])
+    cut = sum(len(pieces[i]) > 1 for i, n in enumerate(lengths) if n <= 2048)
+    assert cut < 0.02 * len(lengths) and bins < sum(lengths) / 2048 + 12
+
+
+def test_without_long_documents_few_are_cut():
+    lengths = np.random.default_rng(4).integers(1, 2049, 8000).tolist()
+    rows, _, bins = packed(lengths)
+    pieces = {}
+    for row in rows:
+        pieces.setdefault(row[0], []).append(row[2])
+    assert [sum(pieces[i]) for i in range(8000)] == lengths and bins < sum(lengths) / 2048 + 12
+    assert sum(len(v) > 1 for v in pieces.values()) < 0.4 * len(lengths)
+
+
+def test_one_document_of_any_length():
+    for n in (1, 2047, 2048, 2049, 1_000_003):
+        rows, _, _ = packed([n])
+        assert sum(r[2] for r in rows) == n
 
 
 def test_oddities(spark, docs, empty, tokenizer):
