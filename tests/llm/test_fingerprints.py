@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 
@@ -9,8 +10,8 @@ from carrel.llm import fingerprints as fp
 def test_homomorphic():
     a, b, c = ([x.encode() for x in s] for s in (("one", "two"), ("two", "one"), ("one", "two", "three")))
     assert (fp.state(a) == fp.state(b)).all()
-    assert (fp.state(c) - fp.state([b"three"]) == fp.state(a)).all()
-    assert (fp.state(a) + fp.state([b"three"]) == fp.state(c)).all()
+    assert (fp.deleted(fp.state(c), fp.state([b"three"])) == fp.state(a)).all()
+    assert (fp.inserted(fp.state(a), fp.state([b"three"])) == fp.state(c)).all()
     assert not (fp.state(a) == fp.state([b"one", b"one", b"two"])).all()
     assert (fp.from_text(fp.text_of(fp.state(c))) == fp.state(c)).all()
     assert (fp.state([]) == 0).all()
@@ -54,5 +55,45 @@ def test_same_for_any_partitions(spark, docs):
     assert a == b
 
 
-def test_lanes_are_16_bits():
-    assert fp.state([b"x" * 100_000]).dtype == np.uint16
+def windows(text):
+    b = [p for p in text.encode().split(b"\n")]
+    return collections.Counter((p + b"\xff" * fp.WINDOW)[i : i + fp.WINDOW] for p in b for i in range(len(p)))
+
+
+def share(a, b):
+    """The likeness, counted."""
+    x, y = windows(a), windows(b)
+    return 1 - sum((x[w] - y[w]) ** 2 for w in x | y) / (sum(v * v for v in x.values()) + sum(v * v for v in y.values()))
+
+
+def test_likeness_against_counting():
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    for changed in (3, 40, 200, 500):
+        a = " ".join(words[:600])
+        b = " ".join(words[changed : 600 + changed])
+        assert abs(fp.likeness(fp.state(fp.paragraphs(a)), fp.state(fp.paragraphs(b))) - share(a, b)) < 0.12
+
+
+def test_long_texts_of_one_window():
+    for n in (20_000, 40_000, 65_543, 300_000, 3_000_000):
+        s = fp.state([b"a" * n])
+        assert fp.likeness(s, fp.state([b"a" * (n - 1) + b"b"])) > 0.999
+        other = "unlike words of another kind " * 10
+        text = "a" * n
+        assert 0.9 < fp.likeness(s, fp.edited_state(text, s, other)) <= 1
+    assert (fp.state([b"xy" * (fp.SEGMENT + 77)]) == fp.inserted(fp.state([b"xy" * (fp.SEGMENT + 77)]), fp.state([]))).all()
+
+
+def test_segments_give_the_same_sketch(monkeypatch):
+    items = [bytes(random.Random(i).choices(b"abc d", k=997)) for i in range(9)]
+    whole = fp.state(items)
+    monkeypatch.setattr(fp, "SEGMENT", 100)
+    assert (fp.state(items) == whole).all()
+
+
+def test_many_rows_without_id(spark):
+    docs = spark.createDataFrame([(None, f"text {i} of a page without id") for i in range(300)] + [(5, "five")], "doc_id long, text string")
+    out = fp.fingerprints(docs, 8)
+    assert out.count() == 301 and out.where("doc_id IS NULL").select("edited_sha256").distinct().count() > 290
+    assert out.rdd.getNumPartitions() == 8
