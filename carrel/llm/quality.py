@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carrel.llm.common import crc_fold
+from carrel.llm.common import crc_fold, shuffle_partitions, stored
 from carrel.llm.words import word_hashes
 
 #: Bounds of the rows that the model is fitted on; the rows with the least md5 of the id are taken.
@@ -162,16 +162,19 @@ def _rows(kind: str):
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> Model:
     """Fits the model on bounded samples, chosen by the md5 of doc_id, of the rows outside the held-out fold.
 
-    A document counts as a trusted positive if all its labels are 1. Null labels and ids are not used.
+    A document counts as a trusted positive if all its labels are 1. Null labels and ids are not used. Of rows that share an id the least text
+    alone is used, so the bounds hold whatever repeats.
     """
     by = F.md5(F.col("doc_id").cast("string").cast("binary"))
     learn = lambda df: df.where(F.col("doc_id").isNotNull() & (crc_fold() != 1))
     good = learn(labels.select("doc_id", "quality")).groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).where("q = 1")
     good = good.select("doc_id", F.lit(1).alias("kind")).orderBy(by, "doc_id").limit(most_positive)
-    some = learn(docs.select("doc_id")).select("doc_id", F.lit(0).alias("kind")).orderBy(by, "doc_id").limit(most_unlabelled)
-    # At most most_positive + most_unlabelled ids: small enough for every executor at any input size.
-    ids = good.unionByName(some)
-    x = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_rows("doc_id"), "doc_id long, x array<float>")
+    some = learn(docs.select("doc_id")).distinct().select("doc_id", F.lit(0).alias("kind")).orderBy(by, "doc_id").limit(most_unlabelled)
+    # At most most_positive + most_unlabelled ids, each once in either kind, and one text for each: small at any input size.
+    ids = stored(good.unionByName(some), "quality-ids")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")).repartition(shuffle_partitions(docs.sparkSession), "doc_id")
+    x = texts.mapInArrow(_rows("doc_id"), "doc_id long, x array<float>")
     got = x.join(F.broadcast(ids), "doc_id").orderBy("kind", "doc_id").select("kind", "x").toArrow()
     kind, x = got.column("kind").to_numpy(), np.array(got.column("x").combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, N) if got.num_rows else np.zeros((0, N))
     return fit(x[kind == 1], x[kind == 0])

@@ -38,3 +38,41 @@ def test_oddities(spark, docs, empty):
     assert {r.score for r in q.scored(docs, none).collect()} == {0.5}
     assert q.keep_good(docs, none).columns == docs.columns
     assert (q.features(None) == 0).all() and (q.features("") == 0).all()
+
+
+def test_bounds_hold_for_repeated_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(q, "fit", lambda p, u: seen.append((len(p), len(u))))
+    rows = [(i % 7, f"text {i} of a row whose id is that of many others") for i in range(3000)] + [(100 + i, f"text {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in list(range(7)) * 20 + list(range(100, 400))], "doc_id long, quality int")
+    q.train(docs, labels, 50, 120)
+    assert seen == [(50, 120)]
+    q.train(docs, labels)
+    ids = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert seen[1] == (len({i for i in ids if i < 400}), len(ids))
+
+
+def test_fit_minimises_the_risk_as_stated():
+    """The non-negative unbiased risk, worked out row by row: the fitted weights are where it is least."""
+    r = np.random.default_rng(4)
+    p, u = np.zeros((300, q.N)), np.zeros((500, q.N))
+    p[:, :3] = r.normal(1, 1, (300, 3))
+    u[:, :3] = np.concatenate((r.normal(1, 1, (300, 3)), r.normal(-1, 1, (200, 3))))
+    model = q.fit(p, u, prior=0.6)
+
+    def risk(weight, bias):
+        z = lambda x: [float(q._expand((row - model.mean) / model.scale) @ weight + bias) for row in x]
+        loss = lambda v: float(np.logaddexp(0, -v))
+        zp, zu = z(p), z(u)
+        negative = sum(loss(-v) for v in zu) / len(zu) - 0.6 * sum(loss(-v) for v in zp) / len(zp)
+        return 0.6 * sum(loss(v) for v in zp) / len(zp) + max(0.0, negative) + 5e-4 * (float(weight @ weight) + bias * bias)
+
+    least = risk(model.weight, model.bias)
+    assert least < risk(np.zeros_like(model.weight), 0.0) - 0.1
+    for k in (0, 1, 2, q.N, q.N + 1):
+        for step in (-0.3, 0.3):
+            w = model.weight.copy()
+            w[k] += step
+            assert risk(w, model.bias) > least - 1e-3
+    assert risk(model.weight, model.bias + 0.3) > least - 1e-3 and risk(model.weight, model.bias - 0.3) > least - 1e-3
