@@ -31,16 +31,38 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table td th tr ul tbody thead tfoot".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot"), "thead": ("tbody", "thead", "tfoot"), "tfoot": ("tbody", "thead", "tfoot")}
 SCOPE = frozenset("ul ol table dl body html article section div td th main aside nav".split())
+FOREIGN = frozenset("svg math".split())
+#: Without a closing tag these take the rest of the page; of the others the tag alone is passed over.
+UNCLOSED = frozenset("script style textarea title xmp".split())
 NEVER = frozenset("head script style textarea title template svg math select iframe noembed noframes xmp noscript".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?/][^>a-zA-Z][^>]*(?:>|\Z)|<![^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][^\s=>/]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+#: A character reference by number: more digits than this name no character.
+_REFERENCE = re.compile(r"&#(?:[0-9]{9,}|[xX][0-9a-fA-F]{8,});?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAMED = ("class", "id", "role", "itemprop", "aria-label")
 
 
+@lru_cache(maxsize=64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I)
+
+
+def decoded(text: str) -> str:
+    """The text with its character references replaced; one of any length that names no character is U+FFFD, as in browsers."""
+
+    def short(m: re.Match) -> str:
+        digits = m[0].removeprefix("&#").rstrip(";")
+        hexadecimal = digits[0] in "xX"
+        digits = digits.lstrip("xX").lstrip("0") or "0"
+        return "\ufffd" if len(digits) > 7 else f"&#{'x' if hexadecimal else ''}{digits};"
+
+    return entities.unescape(_REFERENCE.sub(short, text))
+
+
 @dataclass
 class Node:
     tag: str
@@ -59,8 +81,11 @@ class Node:
     at: int = 0
 
 
-def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
-    """Block nodes, parents before children, and text runs (node, text) in page order; a run ends at a block's edge."""
+def parse(page: str | None, labelled: bool = False) -> tuple[list[Node], list[tuple[int, str]]]:
+    """Block nodes, parents before children, and text runs (node, text) in page order; a run ends at a block's edge.
+
+    ``labelled``: a training page, whose ``data-y`` attributes are its labels. On any other page they mean nothing.
+    """
     page = page or ""
     nodes = [Node("#page", -1)]
     stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and the block node that each is in
@@ -71,7 +96,7 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
     def end_run():
         nonlocal held_links
         if held:
-            text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+            text = _SPACE.sub(" ", decoded("".join(held))).strip()
             if text:
                 n = nodes[stack[-1][1]]
                 n.runs.append(len(runs))
@@ -148,17 +173,20 @@ def parse(page: str | None) -> tuple[list[Node], list[tuple[int, str]]]:
             for name, *values in _ATTRIBUTE.findall(m[3]):
                 name, value = name.lower(), next((v for v in values if v), "")
                 if name in NAMED:
-                    node.names += [p.lower().removesuffix("s") for p in _PART.findall(value)][:12]
+                    node.names += [p.lower().removesuffix("s") for p in _PART.findall(value)]
                 elif name == "hidden" or name == "style" and _HIDDEN.search(value) or name == "aria-hidden" and value.lower() == "true":
                     node.names.append("#hidden")
-                elif name == "data-y":
+                elif labelled and name == "data-y":
                     node.label = int(value)
             nodes.append(node)
             here = len(nodes) - 1
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
+            if m[3].endswith("/") and tag in FOREIGN:
+                continue
+            end = _end_of(tag).search(page, at)
+            if end or tag in UNCLOSED:
+                at = end.end() if end else len(page)
+                continue
         if tag in VOID or m[3].endswith("/") and not block:
             continue
         stack.append((tag, here))
@@ -256,7 +284,7 @@ def marginals(nodes: list[Node], unary: list[float], pair: list[list[float]]) ->
 
 def fit(pages: list[str], epochs: int = 12, rate: float = 0.05, ridge: float = 2e-4) -> Model:
     """Maximum likelihood on pages whose block elements carry their label in ``data-y``, by Adam on one page at a time."""
-    parsed = [parse(p)[0] for p in pages]
+    parsed = [parse(p, labelled=True)[0] for p in pages]
     names: dict[str, int] = {}
     for nodes in parsed:
         for n in nodes:

@@ -14,7 +14,6 @@ For each text the posterior over languages is proportional to
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,31 +23,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carrel.llm.common import crc_fold, stored
+from carrel.llm.common import crc_fold, spread_join, stored
+from carrel.llm.html import decoded
 
-BUCKETS, WEIGHT, SMOOTH, SALTS = 1 << 15, 40.0, 8.0, 16
-#: Training labels of more languages than this are refused: a language table is held by every task.
-MOST_LANGUAGES = 200
+BITS, WEIGHT, SMOOTH = 15, 40.0, 8.0
+#: The table of all languages' trigrams has up to this many cells: the more languages, the fewer buckets each, down to 2^10.
+CELLS = 1 << 23
 _LETTER = np.arange(256, dtype=np.uint32)
 _LETTER[65:91] += 32
 _LETTER[[*range(0, 65), *range(91, 97), *range(123, 128)]] = 32
 _TAGS = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<[^>]*(?:>|\Z)", re.S | re.I)
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """A bucket for each three bytes of the text in which ASCII capitals are lower-cased and runs of other ASCII marks are one blank."""
+def trigrams(text: str | None, bits: int = BITS) -> np.ndarray:
+    """A bucket, of 2^bits, for each three bytes of the text in which ASCII capitals are lower-cased and runs of other ASCII marks are one blank."""
     c = _LETTER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
     if not len(c):
         return np.empty(0, np.int64)
     c = np.concatenate(([32], c, [32])).astype(np.uint32)
     c = c[np.concatenate(([True], (c[1:] != 32) | (c[:-1] != 32)))]
     key = (c[:-2] << np.uint32(16)) | (c[1:-1] << np.uint32(8)) | c[2:]
-    return ((key * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
+    return ((key * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def page_text(page: str | None) -> str:
     """What a page shows, roughly: without scripts, styles, comments and tags."""
-    return html.unescape(_TAGS.sub(" ", page or ""))
+    return decoded(_TAGS.sub(" ", page or ""))
 
 
 @dataclass(frozen=True)
@@ -56,46 +56,61 @@ class Model:
     languages: list[str]
     log: np.ndarray  # language x bucket
     prior: np.ndarray
+    bits: int = BITS
 
     def likelihood(self, text: str | None) -> np.ndarray:
         """Log-likelihood of the text by language, as of at most ``WEIGHT`` trigrams; 0 for no text."""
-        t = trigrams(text)
+        t = trigrams(text, self.bits)
         if not len(t):
             return np.zeros(len(self.languages))
-        counts = np.bincount(t, minlength=BUCKETS) if len(t) > BUCKETS // 4 else None
+        buckets = 1 << self.bits
+        counts = np.bincount(t, minlength=buckets) if len(t) > buckets // 4 else None
         total = self.log @ counts if counts is not None else self.log[:, t].sum(1)
         return total * (WEIGHT / (WEIGHT + len(t)))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = held.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            t = trigrams(text.as_py())
-            if len(t) > BUCKETS // 4:
-                own += np.bincount(t, minlength=BUCKETS)
-            else:
-                np.add.at(own, t, 1)
-    for lang, own in held.items():
-        at = np.flatnonzero(own)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], names=["lang", "bucket", "c"])
+def _count(bits: int):
+    buckets = 1 << bits
+
+    def rows(held: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, own in held.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at], pa.int64())], names=["lang", "bucket", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if lang not in held and (len(held) + 1) * buckets > CELLS:
+                    yield from rows(held)
+                    held.clear()
+                own = held.setdefault(lang, np.zeros(buckets, np.int64))
+                t = trigrams(text.as_py(), bits)
+                if len(t) > buckets // 4:
+                    own += np.bincount(t, minlength=buckets)
+                else:
+                    np.add.at(own, t, 1)
+        yield from rows(held)
+
+    return run
 
 
 def train(docs: DataFrame) -> Model:
-    """Counts trigrams by ``lang`` over all documents outside the held-out fold whose lang is known."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold() != 1)).select(F.lower("lang").alias("lang"), "text")
-    languages = sorted(r[0] for r in known.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = np.zeros((max(1, len(languages)), BUCKETS))
-    got = known.mapInArrow(_count, "lang string, bucket int, c long").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
+    """Counts trigrams by ``lang`` over all documents outside the held-out fold whose lang is known.
+
+    Any number of languages is learned. The names of the languages and their table, of about ``CELLS`` numbers, are held by the driver and by every task.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold() != 1)).select(F.lower("lang").alias("lang"), F.col("text").cast("string").alias("text"))
+    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    bits = max(10, min(BITS, (CELLS // max(1, len(languages))).bit_length() - 1))
+    counts = np.zeros((max(1, len(languages)), 1 << bits))
+    got = known.mapInArrow(_count(bits), "lang string, bucket int, c long").groupBy("lang", "bucket").agg(F.sum("c").alias("c")).toArrow()
     if got.num_rows:
         where = {x: i for i, x in enumerate(languages)}
         np.add.at(counts, (np.array([where[x] for x in got.column("lang").to_pylist()]), got.column("bucket").to_numpy()), got.column("c").to_numpy())
     log = np.log(counts + 0.5) - np.log((counts + 0.5).sum(1, keepdims=True))
     share = (counts.sum(1) + 1) / (counts.sum(1) + 1).sum()
-    return Model(languages or ["und"], log, share)
+    return Model(languages or ["und"], log, share, bits)
 
 
 def _normalised(likelihood: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -132,8 +147,15 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def _sums(n: int, by: str = "posterior") -> list[Column]:
-    return [F.sum(F.get(by, F.lit(i))).alias(f"s{i}") for i in range(n)]
+def _masses(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys, mass (language number to the sum of the texts' posteriors) and n, the sum of all. What is below 1e-9 of a text counts as 0."""
+    sums = texts.select(*keys, F.posexplode("posterior").alias("i", "p")).where("p > 1e-9").groupBy(*keys, "i").agg(F.sum("p").alias("p"))
+    return sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "p"))).alias("mass"), F.sum("p").alias("n"))
+
+
+def _total(masses: DataFrame, n: int) -> list[float]:
+    got = dict(masses.select(F.explode("mass").alias("i", "p")).groupBy("i").agg(F.sum("p")).collect())
+    return [got.get(i) or 0.0 for i in range(n)]
 
 
 def identify(pages: DataFrame | None, docs: DataFrame | None, model: Model, smooth: float = SMOOTH) -> DataFrame:
@@ -154,29 +176,28 @@ def identify(pages: DataFrame | None, docs: DataFrame | None, model: Model, smoo
     both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
     texts = both.mapInArrow(_texts(spark.sparkContext.broadcast(model)), "doc_id long, page_id long, host string, suffix string, declared string, likelihood array<double>, posterior array<double>")
     texts = stored(texts.select("*", F.coalesce("host", F.lit("")).alias("h"), F.coalesce("suffix", F.lit("")).alias("s")), "texts")
-    vector = lambda prefix: F.array(*(F.col(f"{prefix}{i}") for i in range(n)))
-    hosts = texts.groupBy("h", "s").agg(*_sums(n))
-    suffixes = hosts.groupBy("s").agg(*(F.sum(f"s{i}").alias(f"t{i}") for i in range(n)))
-    whole = suffixes.agg(*(F.sum(f"t{i}") for i in range(n))).first()
-    base = np.array([x or 0.0 for x in whole]) + 1
-    base = (base / base.sum()).tolist()
-    # Few thousand subtags at most, by the pattern of the declaration: small enough for every executor.
-    said = texts.where("declared IS NOT NULL").groupBy("declared").agg(*_sums(n)).select("declared", vector("s").alias("said"))
-    all_said = said.select(*(F.sum(F.get("said", F.lit(i))) for i in range(n)), F.count("*")).first()
-    kinds, totals = all_said[n] + 1, [x or 0.0 for x in all_said[:n]]
-    priors = hosts.join(suffixes, "s").select("h", "s", vector("s").alias("of_host"), vector("t").alias("of_suffix"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = texts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "page_id"), F.lit(SALTS)).cast("int"))
-    d = salted.join(priors, ["h", "s", "salt"]).join(F.broadcast(said), "declared", "left")
-    log = []
-    for i in range(n):
-        at = lambda c: F.get(c, F.lit(i))  # noqa: B023, E731
-        own = at("posterior")
-        count = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) - 1
-        of_suffix = (at("of_suffix") - own + smooth * base[i]) / (F.greatest(count("of_suffix"), F.lit(0.0)) + smooth)
-        of_host = (F.greatest(at("of_host") - own, F.lit(0.0)) + smooth * F.greatest(of_suffix, F.lit(1e-9))) / (F.greatest(count("of_host"), F.lit(0.0)) + smooth)
-        declared = F.coalesce((F.greatest(at("said") - own, F.lit(0.0)) + 0.5) / (totals[i] + 0.5 * kinds), F.lit(1.0))
-        log.append(at("likelihood") + F.log(F.greatest(of_host, F.lit(1e-12))) + F.log(declared))
-    d = d.select("doc_id", "page_id", "host", "declared", "posterior", F.array(*log).alias("log"))
+    hosts = stored(_masses(texts, ["h", "s"]), "hosts")
+    suffixes = hosts.select("s", F.explode("mass").alias("i", "p")).groupBy("s", "i").agg(F.sum("p").alias("p")).groupBy("s")
+    suffixes = stored(suffixes.agg(F.map_from_entries(F.collect_list(F.struct("i", "p"))).alias("suffix_mass"), F.sum("p").alias("suffix_n")), "suffixes")
+    base = np.array(_total(hosts, n)) + 1
+    base = F.lit((base / base.sum()).tolist())
+    said = stored(_masses(texts.where("declared IS NOT NULL"), ["declared"]), "declared")
+    kinds, totals = said.count() + 1, F.lit(_total(said, n))
+    wide = F.lit(32 * n)
+    of = suffixes.join(hosts.groupBy("s").agg(F.count("*").alias("rows")), "s")
+    priors = spread_join(hosts, of, ["s"], wide=wide).withColumn("rows", F.col("n").cast("long"))
+    d = spread_join(texts, priors, ["h", "s"], wide=wide)
+    d = spread_join(d, said.select("declared", F.col("mass").alias("said"), F.col("n").cast("long").alias("rows")), ["declared"], "left", wide=wide)
+
+    def fused(i):
+        of = lambda mass: F.greatest(F.coalesce(F.try_element_at(mass, i), F.lit(0.0)) - F.get("posterior", i), F.lit(0.0))
+        less = lambda count: F.greatest(F.col(count) - 1, F.lit(0.0)) + smooth
+        suffix = (of(F.col("suffix_mass")) + smooth * F.get(base, i)) / less("suffix_n")
+        host = (of(F.col("mass")) + smooth * F.greatest(suffix, F.lit(1e-9))) / less("n")
+        declared = F.when(F.col("said").isNull(), F.lit(1.0)).otherwise((of(F.col("said")) + 0.5) / (F.get(totals, i) + 0.5 * kinds))
+        return F.get("likelihood", i) + F.log(F.greatest(host, F.lit(1e-12))) + F.log(declared)
+
+    d = d.select("doc_id", "page_id", "host", "declared", "posterior", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), fused).alias("log"))
     top = F.array_max("log")
     names = F.lit(model.languages).cast("array<string>")
     named = lambda c: F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
