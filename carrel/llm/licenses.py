@@ -99,8 +99,6 @@ _END = rf"[.!?:;]+[{_S}]"
 #: Of the SQL only.
 _JOIN = r"\n[ \t]*([#*]+|//+|--+)?[ \t]*"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Of the SQL only: no known sentence is as long as this.
-_LONGEST = 4000
 
 
 def _ids(text: Column) -> Column:
@@ -145,7 +143,7 @@ t AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '(?i){"|".jo
 ways AS (SELECT doc_id, 0 AS way, text FROM t UNION ALL SELECT doc_id, 1, regexp_replace(text, '{_JOIN}', ' ', 'g') FROM t),
 cut AS (SELECT doc_id, way, string_split(regexp_replace(text, '{_END}', chr(10), 'g'), chr(10)) AS parts FROM ways),
 s AS (SELECT doc_id, way, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM cut),
-f AS (SELECT doc_id, way, pos, id FROM s JOIN known ON trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' ') = sentence WHERE length(part) < {_LONGEST}),
+f AS (SELECT doc_id, way, pos, id FROM s JOIN known ON trim(regexp_replace(translate(part, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'), ' ') = sentence),
 r0 AS (SELECT doc_id, way, string_agg('|' || id || '|', '' ORDER BY pos) AS rest, []::VARCHAR[] AS found FROM f GROUP BY doc_id, way)"""
     for k, i in enumerate(_ORDER):
         seq = "".join(f"|{x}|" for x in RULES[i][1])

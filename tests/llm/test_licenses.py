@@ -106,3 +106,10 @@ def test_published_texts(spark):
     assert [got[k].licenses for k in range(4)] == [n for _, n in want]
     assert got[0].sentence_ids == "MitAsIs,MitGrant,MitLiability,MitNotice"
     assert got[1].sentence_ids == "Apache2,ApacheAsIs,ApacheComply,ApacheObtain,ApacheSee"
+
+
+def test_sentences_of_any_raw_length(spark, duck):
+    texts = ["licensed under" + " " * 4100 + "the MIT License.", "Licensed under" + " \t(" * 30_000 + " the MIT License"]
+    assert [r.licenses for r in lic.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()] == ["MIT", "MIT"]
+    got = duck.sql(lic.ORACLE.replace("documents", f"(VALUES (0, '{texts[0]}')) documents(doc_id, text)", 1).replace("FROM documents LEFT", "FROM (SELECT 0 AS doc_id) LEFT")).fetchall()
+    assert got[0][2] == "MIT"
