@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from contextlib import contextmanager
 
@@ -25,37 +24,46 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-_WRITTEN: list[str] = []
-#: Seconds between two collections that ``stored`` asks for.
-_PAUSE = 5.0
-_last = 0.0
+#: Paths of tables in the innermost scope last; the first list is of those outside any.
+_WRITTEN: list[list[str]] = [[]]
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` to the shared folder and returns the written table: the lineage ends there.
 
     Spark deletes the shuffle files of the plan once the driver's JVM has collected it; asking for that here keeps
-    the disk that a job takes to about that of its largest step.
+    the disk that a job takes to about that of its largest step. ``keep``: the table outlives the scope that it is written in.
     """
-    global _last
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    if time.monotonic() - _last > _PAUSE:
-        df.sparkSession.sparkContext._jvm.System.gc()
-        _last = time.monotonic()
+    _WRITTEN[-2 if keep and len(_WRITTEN) > 1 else -1].append(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> int:
-    """Deletes the tables that ``stored`` has written in this process; how many. Call it once results are written elsewhere."""
+    """Deletes the tables that ``stored`` has written outside scopes, or to outlive them; how many. Call it once results are written elsewhere."""
+    return _delete(spark, _WRITTEN[0])
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> int:
     conf, n = spark.sparkContext._jsc.hadoopConfiguration(), 0
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    while paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += bool(path.getFileSystem(conf).delete(path, True))
     return n
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables that ``stored`` writes inside, but for those to be kept, are deleted at its end. Results that leave it must not read them."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        _delete(spark, _WRITTEN.pop())
+
+
 def sliced(batches, rows: int = 2000):
     """The record batches in slices, so that what a task makes of one at a time stays small."""
     for batch in batches:

@@ -11,9 +11,9 @@ variable fields. It fixes at least ``need(n) = max(70 % of n, 5)`` of its n word
 * A group's first line (the least) founds its template, and the lines that agree with it on at least ``need(n)`` fixed words belong to it.
 
 A template recurs if it stands in at least two unlike documents, and its lines are dropped from every document that has them, whatever they leave of it.
-Copies of one document are not unlike: equal texts count once, and so do revised copies. A revised copy is a text of ``LEAST`` 5-word shingles or more, at least a
+Copies of one document are not unlike: equal texts count once, and so do revised copies. A revised copy is a text of ``LEAST`` words or more, at least a
 tenth of whose words are in lines that stand in two texts or more. It is held against the text with the least doc_id that shares one of
-four min-hashes with it (the least and the greatest md5 of a shingle, read forward or backward), which stands for it if the Jaccard similarity of their shingles is 0.8 or more, or if it is 0.5 or more and what they have
+four min-hashes with it (the least and the greatest md5, read forward or backward, of its 5-word shingles whose first word's length is a multiple of ``SAMPLE``), which stands for it if the Jaccard similarity of their shingles is 0.8 or more, or if it is 0.5 or more and what they have
 beside such lines is alike, too: nothing in one of them, or at least half of the fewer words of the two. (Short pages that share a long footer alone
 are no copies.) Nothing is removed on that ground: it only says that two copies are no evidence that a line recurs. So copies keep what they share with
 one another alone, and which of them stays is left to near-duplicate removal.
@@ -26,10 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carrel.llm.common import WORD, spread_join, stored
+from carrel.llm.common import WORD, scope, spread_join, stored
 
 LEAD, BANDS, ALIKE, FIXED = 3, 4, 7, 5
-SHINGLE, LEAST = 5, 16
+SHINGLE, LEAST, SAMPLE = 5, 20, 4
 #: Per cent of shingles in common that make a revised copy, and that do where the rest is alike.
 NEAR, HALF = 80, 50
 KEYS = ["leaf", "tail", *(f"b{k}" for k in range(BANDS))]
@@ -106,10 +106,9 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
 
 
-def _shingles(words: Column) -> Column:
-    """Distinct shingles of a text, words parted by one blank; of fewer words than ``SHINGLE`` the whole sequence."""
-    last = F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(words, i, SHINGLE), " ")))
+def _starts(words: Column) -> Column:
+    """Where the shingles of a text of at least ``SHINGLE`` words start."""
+    return F.sequence(F.lit(1), F.size(words) - SHINGLE + 1)
 
 
 def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame:
@@ -120,23 +119,24 @@ def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame
     t1, t2 = _two("text")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text"))
     texts = spread_join(texts, suspects.withColumn("rows", F.lit(1)), ["t1", "t2", "id"])
-    own = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("at"), i)), "\n")
     # A column for each step: what stands in a lambda is worked out for each element.
-    texts = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words"), F.array_distinct(_words(own)).alias("own")).withColumn("s", _shingles(F.col("words")))
-    marks = texts.withColumn("md5", F.transform("s", lambda x: F.md5(x.cast("binary"))))
-    marks = marks.withColumn("back", F.transform("md5", F.reverse))
-    ends = F.array(F.array_min("md5"), F.array_max("md5"), F.array_min("back"), F.array_max("back"))
-    texts = stored(marks.select("t1", "t2", "id", "own", F.transform("s", lambda x: F.xxhash64(x)).alias("s"), ends.alias("m")), "suspected").where(F.size("s") >= LEAST)
-    at = texts.select("t1", "t2", "id", F.posexplode("m").alias("k", "m"))
+    marks = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words")).where(F.size("words") >= LEAST)
+    marks = marks.withColumn("at", F.filter(_starts(F.col("words")), lambda i: F.length(F.get("words", i - 1)) % SAMPLE == 0))
+    marks = marks.withColumn("md5", F.transform("at", lambda i: F.md5(F.array_join(F.slice("words", i, SHINGLE), " ").cast("binary")))).withColumn("back", F.transform("md5", F.reverse))
+    marks = stored(marks.select("t1", "t2", "id", F.array(F.array_min("md5"), F.array_max("md5"), F.array_min("back"), F.array_max("back")).alias("m")), "marks")
+    at = marks.select("t1", "t2", "id", F.posexplode("m").alias("k", "m")).where("m IS NOT NULL")
     rep = at.groupBy("k", "m").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
     pairs = spread_join(at, rep, ["k", "m"]).where("rep < id").select("t1", "t2", "rep").distinct()
     # A text that stands for many is sent to as many tasks as they take.
     turns = pairs.groupBy("rep").agg(F.count("*").alias("rows")).withColumn("turns", F.ceil(F.col("rows") / PER_TASK))
     pairs = stored(spread_join(pairs, turns, ["rep"]).select("t1", "t2", "rep", F.pmod(F.xxhash64("t1"), F.col("turns")).alias("turn")), "pairs")
-    # From here on only the texts of pairs, each once.
-    paired = pairs.select("t1", "t2").unionByName(spread_join(texts, turns.drop("turns").withColumnRenamed("rep", "id"), ["id"]).select("t1", "t2")).distinct()
-    texts = spread_join(texts, paired.withColumn("rows", F.lit(1)), ["t1", "t2"]).groupBy("t1", "t2").agg(*(F.first(c).alias(c) for c in ("id", "s", "own")))
-    texts = stored(texts, "paired")
+    # Whole texts of pairs alone are compared, each made into its set once.
+    paired = pairs.select("t1", "t2").unionByName(spread_join(marks, turns.drop("turns").withColumnRenamed("rep", "id"), ["id"]).select("t1", "t2")).distinct()
+    texts = spread_join(texts, paired.withColumn("rows", F.lit(1)), ["t1", "t2"]).groupBy("t1", "t2", "id").agg(F.min("text").alias("text"), F.first("at").alias("at"))
+    own = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("at"), i)), "\n")
+    texts = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words"), F.array_distinct(_words(own)).alias("own"))
+    sets = F.array_distinct(F.transform(_starts(F.col("words")), lambda i: F.xxhash64(F.slice("words", i, SHINGLE))))
+    texts = stored(texts.select("t1", "t2", "id", sets.alias("s"), "own"), "paired")
     of = pairs.select("rep", "turn").distinct().join(texts.select(F.col("id").alias("rep"), F.col("s").alias("s_rep"), F.col("own").alias("own_rep")), "rep")
     both = pairs.join(texts.select("t1", "t2", "s", "own"), ["t1", "t2"]).join(of, ["rep", "turn"])
     both = both.select("t1", "t2", "rep", F.size(F.array_intersect("s", "s_rep")).alias("same"), (F.size("s") + F.size("s_rep")).alias("total"), F.size(F.array_intersect("own", "own_rep")).alias("rest"), F.least(F.size("own"), F.size("own_rep")).alias("least"))
@@ -182,8 +182,9 @@ def without_recurring(docs: DataFrame) -> DataFrame:
     An empty table gives no rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    table = line_table(docs)
-    drop = recurring(docs, table).groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("_drop"))
+    with scope(docs.sparkSession):
+        drop = recurring(docs, line_table(docs)).groupBy("doc_id", "t1", "t2").agg(F.collect_set("pos").alias("_drop"))
+        drop = stored(drop, "dropped-lines", keep=True)
     drop = drop.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_drop")
     text = F.col("text").cast("string")
     t1, t2 = _two(docs["text"])
@@ -200,7 +201,8 @@ def _oracle() -> str:
     tail = f"'t:' || n || ':' || array_to_string(words[{LEAD + 1}:], ' ')"
     at = [f"({LEAD} + ({k} * (n - {LEAD})) // {BANDS})" for k in range(BANDS + 1)]
     bands = ", ".join(f"'b{k}:' || n || ':' || array_to_string(words[1:{LEAD}], ' ') || ':' || array_to_string(words[{at[k]} + 1:{at[k + 1]}], ' ')" for k in range(BANDS))
-    md5, back = "list_transform(s, lambda x: md5(x))", "list_transform(s, lambda x: reverse(md5(x)))"
+    some = f"list_transform(list_filter(range(1, len(words) - {SHINGLE - 2}), lambda i: length(words[i]) % {SAMPLE} = 0), lambda i: md5(array_to_string(words[i:i + {SHINGLE - 1}], ' ')))"
+    md5, back = "some", "list_transform(some, lambda x: reverse(x))"
     mins = f"list_min({md5}), list_max({md5}), list_min({back}), list_max({back})"
     words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + WORD + "')"
     return rf"""
@@ -220,10 +222,9 @@ g AS (SELECT key FROM t GROUP BY key HAVING count(DISTINCT text) > 1),
 sl AS (SELECT DISTINCT line FROM t JOIN g USING (key)),
 w AS (SELECT s.text, min(doc_id) AS id, list(own) FILTER (sl.line IS NULL) AS own FROM s LEFT JOIN sl USING (line) GROUP BY s.text HAVING 10 * coalesce(sum(n) FILTER (sl.line IS NOT NULL), 0) >= sum(n)),
 w1 AS (SELECT id, text, {words.format('text')} AS words, list_distinct({words.format("array_to_string(coalesce(own, []), ' ')")}) AS own FROM w),
-w2 AS (SELECT id, text, own, list_distinct(list_transform(range(1, greatest(len(words) - {SHINGLE - 2}, 2)), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' '))) AS s FROM w1 WHERE len(words) >= {LEAST}),
-w2b AS (SELECT * FROM w2 WHERE len(s) >= {LEAST}),
+w2b AS (SELECT id, text, own, {some} AS some, list_distinct(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' '))) AS s FROM w1 WHERE len(words) >= {LEAST}),
 w3 AS (SELECT id, unnest([{mins}]) AS h, generate_subscripts([{mins}], 1) AS j FROM w2b),
-w4 AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY j, h) AS rep FROM w3),
+w4 AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY j, h) AS rep FROM w3 WHERE h IS NOT NULL),
 w5 AS (SELECT x.id, x.rep, len(list_intersect(p.s, q.s)) AS same, len(p.s) + len(q.s) AS total, len(list_intersect(p.own, q.own)) AS rest, least(len(p.own), len(q.own)) AS fewer FROM w4 x JOIN w2b p ON p.id = x.id JOIN w2b q ON q.id = x.rep WHERE x.rep < x.id),
 w6 AS (SELECT id, min(rep) AS rep FROM w5 WHERE 100 * same >= {NEAR} * (total - same) OR (100 * same >= {HALF} * (total - same) AND 2 * rest >= fewer) GROUP BY id),
 w7 AS (SELECT x.id, coalesce(y.rep, x.rep) AS rep FROM w6 x LEFT JOIN w6 y ON y.id = x.rep),
