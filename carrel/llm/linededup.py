@@ -202,7 +202,7 @@ def _oracle() -> str:
     at = [f"({LEAD} + ({k} * (n - {LEAD})) // {BANDS})" for k in range(BANDS + 1)]
     bands = ", ".join(f"'b{k}:' || n || ':' || array_to_string(words[1:{LEAD}], ' ') || ':' || array_to_string(words[{at[k]} + 1:{at[k + 1]}], ' ')" for k in range(BANDS))
     some = f"list_transform(list_filter(range(1, len(words) - {SHINGLE - 2}), lambda i: length(words[i]) % {SAMPLE} = 0), lambda i: md5(array_to_string(words[i:i + {SHINGLE - 1}], ' ')))"
-    md5, back = "some", "list_transform(some, lambda x: reverse(x))"
+    md5, back = "sampled", "list_transform(sampled, lambda x: reverse(x))"
     mins = f"list_min({md5}), list_max({md5}), list_min({back}), list_max({back})"
     words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + WORD + "')"
     return rf"""
@@ -222,7 +222,7 @@ g AS (SELECT key FROM t GROUP BY key HAVING count(DISTINCT text) > 1),
 sl AS (SELECT DISTINCT line FROM t JOIN g USING (key)),
 w AS (SELECT s.text, min(doc_id) AS id, list(own) FILTER (sl.line IS NULL) AS own FROM s LEFT JOIN sl USING (line) GROUP BY s.text HAVING 10 * coalesce(sum(n) FILTER (sl.line IS NOT NULL), 0) >= sum(n)),
 w1 AS (SELECT id, text, {words.format('text')} AS words, list_distinct({words.format("array_to_string(coalesce(own, []), ' ')")}) AS own FROM w),
-w2b AS (SELECT id, text, own, {some} AS some, list_distinct(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' '))) AS s FROM w1 WHERE len(words) >= {LEAST}),
+w2b AS (SELECT id, text, own, {some} AS sampled, list_distinct(list_transform(range(1, len(words) - {SHINGLE - 2}), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' '))) AS s FROM w1 WHERE len(words) >= {LEAST}),
 w3 AS (SELECT id, unnest([{mins}]) AS h, generate_subscripts([{mins}], 1) AS j FROM w2b),
 w4 AS (SELECT DISTINCT id, min(id) OVER (PARTITION BY j, h) AS rep FROM w3 WHERE h IS NOT NULL),
 w5 AS (SELECT x.id, x.rep, len(list_intersect(p.s, q.s)) AS same, len(p.s) + len(q.s) AS total, len(list_intersect(p.own, q.own)) AS rest, least(len(p.own), len(q.own)) AS fewer FROM w4 x JOIN w2b p ON p.id = x.id JOIN w2b q ON q.id = x.rep WHERE x.rep < x.id),
