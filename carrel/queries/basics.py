@@ -478,7 +478,7 @@ def _(t: Tables):
     from carrel.operators import nlp
 
     s = c("p_size")
-    return t.part.select("p_partkey", F.round(nlp.kg_from_imperial(s, F.lit(3)), 9).alias("kg"), F.round(nlp.m_from_imperial(s, F.lit(2)), 9).alias("m"), F.round(s * 10 / nlp.GLUCOSE_G_PER_MOL, 9).alias("mmol_l"), F.round((F.abs(s) - 2.152) * 10.93135, 9).alias("mmol_mol"))
+    return t.part.select("p_partkey", F.round(nlp.total({"stone": s, "pound": F.lit(3)}, nlp.KG_PER), 9).alias("kg"), F.round(nlp.total({"foot": s, "inch": F.lit(2)}, nlp.METRES_PER), 9).alias("m"), F.round(s * 10 / nlp.GLUCOSE_G_PER_MOL, 9).alias("mmol_l"), F.round((F.abs(s) - 2.152) * 10.93135, 9).alias("mmol_mol"))
 
 
 @query("num_05_06_odds", "SELECT p_partkey, CASE WHEN x = 0 THEN '-inf' ELSE round(ln(x), 9)::VARCHAR END = '-inf' AS infinite, round(CASE WHEN x > 0 AND x < 1 THEN ln(x) - ln(1 - x) END, 9) AS log_odds, round(1 / (1 + exp(-(p_size - 25) / 5.0)), 9) AS p FROM (SELECT p_partkey, p_size, (p_size % 10) / 10.0 AS x FROM part)")

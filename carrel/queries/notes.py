@@ -110,8 +110,29 @@ def _(t: Tables):
     return nlp.missed(t.part.select(k, note.alias("note")), "p_partkey", "note", "CRP")
 
 
-@query("nlp_all_processors")
+def _all() -> str:
+    """Every part's note holds a result of every processor."""
+    n = "(p_size + p_partkey % 10 / 10.0)::DOUBLE"
+    values = {name: shapes[0][1].format(n=n) for name, shapes in SHAPES.items()}
+    rows = [f"SELECT p_partkey AS pk, '{name}' AS processor, round(({value})::DOUBLE, 9) AS value FROM part" for name, value in values.items()]
+    rows.append("SELECT p_partkey, 'BP', 120.0::DOUBLE FROM part")
+    return "SELECT * FROM (" + " UNION ALL ".join(rows) + ") WHERE value IS NOT NULL"
+
+
+@query("nlp_all_processors", _all())
+def _(t: Tables):
+    n = F.concat(F.col("p_size").cast("string"), F.lit("."), (c("p_partkey") % 10).cast("string"))
+    said = []
+    for shapes in SHAPES.values():
+        before, _, after = shapes[0][0].partition("{n}")
+        said += [F.lit(before), n, F.lit(after + ". ")]
+    notes = t.part.select("p_partkey", F.concat(*said, F.lit("BP 120/80 today.")).alias("note"))
+    return nlp.run(notes, "p_partkey", "note").where("value IS NOT NULL").select("pk", "processor", F.round("value", 9).alias("value"))
+
+
+@query("nlp_documents")
 def _(t: Tables):
+    """All processors over all documents; invented prose holds no results, so tests hold it against a walk by hand."""
     return nlp.run(t.documents, "doc_id", "text")
 
 
