@@ -181,16 +181,38 @@ def elements(value, method: str, o: Options) -> list[str]:
     return [rx.words(p, o.suffixes, o.typos, o.least_for_typos, o.words_at_edges) for p in parts]
 
 
+def needle(value, method: str, o: Options) -> list[tuple[str, str]]:
+    """For each pattern of ``elements``: a text that a note must hold for the pattern to match, and which form of the note must hold it."""
+    text = str(value).strip().lower()
+    if method == PHRASE_UNLESS_NUMERIC:
+        method = NUMBER if text.isdigit() else PHRASE
+    if not text.isascii() or (o.typos and method in (PHRASE, WORDS)) or (o.alternatives and method == PHRASE):
+        return [("any", "")] * len(elements(value, method, o))
+    if method == DATE:
+        return [("digits", text[2:4])]
+    if method == NUMBER:
+        return [("digits", "".join(ch for ch in text if ch.isdigit()))]
+    if method == CODE:
+        return [("letters", "".join(ch for ch in text if ch.isalnum()))]
+    if method == PHRASE:
+        return [("text", text.split()[0])]
+    return [("text", p) for p in regex.split(r"\W+", text) if len(p) >= o.least and p not in o.allow]
+
+
 class Personal:
-    """Scrubber of one patient, from (kind, method, value): kind ``patient`` or ``third_party``."""
+    """Scrubber of one patient, from (kind, method, value): kind ``patient`` or ``third_party``.
+
+    A note is searched for those values alone whose needle it holds, so most notes of most patients need no pattern at all.
+    """
 
     def __init__(self, values: list[tuple[str, str, object]], options: Options):
         self.o = options
-        by_kind: dict[str, list[str]] = {"patient": [], "third_party": []}
+        by_kind: dict[str, dict[str, tuple[str, str]]] = {"patient": {}, "third_party": {}}
         for kind, method, value in values:
-            by_kind[kind] += elements(value, method, options)
+            if patterns := elements(value, method, options):
+                by_kind[kind].update(zip(patterns, needle(value, method, options), strict=True))
         # Longer patterns first, so that a whole name goes before its parts.
-        self.patterns = {k: rx.compiled(sorted(set(v), key=lambda p: (-len(p), p))) for k, v in by_kind.items()}
+        self.patterns = {k: sorted(v.items(), key=lambda p: (-len(p[0]), p[0])) for k, v in by_kind.items()}
 
     def scrub(self, text: str | None) -> str | None:
         if text is None:
@@ -198,13 +220,34 @@ class Personal:
         if self.o.nonspecific and self.o.nonspecific_first:
             text = self.o.nonspecific.scrub(text)
         for kind, mark in (("patient", self.o.patient), ("third_party", self.o.third_party)):
-            if self.patterns[kind] is not None:
-                text = self.patterns[kind].sub(mark, text)
+            forms = _forms(text)
+            held = tuple(p for p, (form, n) in self.patterns[kind] if forms is None or n in forms[form])
+            if held:
+                text = _held_pattern(held).sub(mark, text)
         if self.o.nonspecific and not self.o.nonspecific_first:
             text = self.o.nonspecific.scrub(text)
         return text
 
 
+_ALL = bytes(range(256))
+_DIGITS = b"0123456789"
+_LETTERS = _DIGITS + b"abcdefghijklmnopqrstuvwxyz"
+
+
+def _forms(text: str) -> dict[str, str] | None:
+    """A note in lower case, its digits, and its letters and digits; None beyond ASCII, where case is not that simple."""
+    if not text.isascii():
+        return None
+    low = text.lower().encode()
+    keep = lambda kept: low.translate(None, _ALL.translate(None, kept)).decode()
+    return {"any": "", "text": low.decode(), "digits": keep(_DIGITS), "letters": keep(_LETTERS)}
+
+
+@lru_cache(maxsize=4096)
+def _held_pattern(patterns: tuple[str, ...]):
+    return rx.compiled(list(patterns))
+
+
 def scrub_source(df: DataFrame, pid: str, columns: dict[str, str], kind: str = "patient") -> DataFrame:
     """pid, kind, method, value of the columns to be removed; ``columns`` maps names to methods."""
     rows = [F.struct(F.lit(kind).alias("kind"), F.lit(m).alias("method"), F.col(c).cast("string").alias("value")) for c, m in columns.items()]
@@ -232,16 +275,12 @@ def scrub_notes(notes: DataFrame, pid: str, texts: list[str], sources: DataFrame
 
     @F.pandas_udf(T.StringType())
     def scrub(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        cache: dict[str, Personal] = {}
+        @lru_cache(maxsize=20_000)
+        def of_patient(values: str) -> Personal:
+            return Personal([(x["kind"], x["method"], x["value"]) for x in json.loads(values)], o)
+
         for text, of in batches:
-            out = []
-            for t, v in zip(text, of, strict=True):
-                if v not in cache:
-                    if len(cache) > 2000:
-                        cache.clear()
-                    cache[v] = Personal([(x["kind"], x["method"], x["value"]) for x in json.loads(v)], o)
-                out.append(cache[v].scrub(t))
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([of_patient(v).scrub(t) for t, v in zip(text, of, strict=True)], dtype=object)
 
     return d.select(*(scrub(F.col(c), known).alias(c) if c in texts else F.col(c) for c in notes.columns))
 

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 
@@ -27,6 +28,21 @@ def test_personal():
     assert p.scrub(None) is None
 
 
+def test_needles_change_nothing():
+    """Patterns that are left out because a note lacks their needle would not have matched."""
+    r = random.Random(3)
+    values = [("patient", "words", "Ann-Marie O'Neil"), ("patient", "date", "1980-02-07"), ("third_party", "number", "+44 (0)12 34"), ("patient", "code", "ab-1/2"), ("third_party", "phrase", "5 High Street"), ("patient", "phrase_unless_numeric", "77 12"), ("patient", "words", "Zoë"), ("patient", "date", "none")]
+    bits = ["ANN", "marie", "o'neil", "neil", "7/2/80", "Feb 7th, 1980", "4401234", "44 0 12-34", "AB12", "a.b.1.2", "5 high  street", "5, HIGH St", "7712", "77-12", "ZOË", "zoe", "x", "\u212a", "80", "1980"]
+    for o in (sc.Options(), sc.Options(typos=1), sc.Options(alternatives=(("Street", "St"),), suffixes=("s",))):
+        p = sc.Personal(values, o)
+        for _ in range(300):
+            text = r.choice([" ", ", ", "-"]).join(r.choices(bits, k=r.randint(0, 6)))
+            want = text
+            for kind, mark in (("patient", o.patient), ("third_party", o.third_party)):
+                want = rx.compiled([x for x, _ in p.patterns[kind]]).sub(mark, want)
+            assert p.scrub(text) == want
+
+
 def test_typos_and_words():
     assert sc.Personal([("patient", "words", "Smith")], sc.Options(typos=1)).scrub("Smyth Smith Smythe") == "[__PPP__] [__PPP__] Smythe"
     assert sc.WordList(["new york", "york"]).scrub("In New York, yorkish YORK") == "In [~~~], yorkish [~~~]"
