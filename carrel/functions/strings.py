@@ -160,3 +160,8 @@ def is_nhs_number(c: Column) -> Column:
 def to_map(c: Column) -> Column:
     """``key:value;...`` as a map."""
     return F.str_to_map(c, F.lit(";"), F.lit(":"))
+
+
+def perfect_id(pair):
+    """Key and value of ``key:value``: the key in lower case, the value in upper case; two Columns."""
+    return F.lower(F.trim(F.substring_index(pair, ":", 1))), F.upper(F.trim(F.substring_index(pair, ":", -1)))

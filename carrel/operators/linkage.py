@@ -323,6 +323,11 @@ def score_pairs(pairs: DataFrame, probands: DataFrame, sample: DataFrame, cfg: C
     return d.select("proband_id", "candidate_id", "priority", total_odds(cfg.prior(), [x(k) for k in scores]).alias("log_odds"))
 
 
+def check_sizes(sample: DataFrame, cfg: Config) -> None:
+    if sample.count() > cfg.population:
+        raise ValueError("the sample is larger than the population")
+
+
 def link(probands: DataFrame, sample: DataFrame, cfg: Config | None = None, translate: dict[str, str] | None = None) -> DataFrame:
     """Result of every proband, those without candidates too.
 
@@ -330,8 +335,7 @@ def link(probands: DataFrame, sample: DataFrame, cfg: Config | None = None, tran
     infinite odds and no second best, and is compared no further.
     """
     cfg = cfg or Config()
-    if sample.count() > cfg.population:
-        raise ValueError("the sample is larger than the population")
+    check_sizes(sample, cfg)
     for df, who in ((probands, "probands"), (sample, "sample")):
         if df.groupBy("id").count().where("count > 1").limit(1).count():
             raise ValueError(f"repeated ids among {who}")

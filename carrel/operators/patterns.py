@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime
 
+import pandas as pd
 import regex
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from carrel.functions.dates import MONTHS
 from carrel.functions.strings import escape, first_letters
@@ -95,3 +98,15 @@ def compiled(patterns: list[str]):
 
 def month_names() -> list[str]:
     return list(MONTHS)
+
+
+def found(text: Column, patterns: list[str]) -> Column:
+    """What the first match of any of the patterns is in a text column, null if there is none; worked out in Arrow batches."""
+    patterns = list(patterns)
+
+    @F.pandas_udf("string")
+    def first(texts: pd.Series) -> pd.Series:
+        pattern = compiled(patterns)
+        return pd.Series([None if t is None or (m := pattern.search(t)) is None else m[0] for t in texts], dtype=object)
+
+    return first(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fnmatch import fnmatch
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +150,6 @@ def restricted(patients: DataFrame, conditions: list[tuple[DataFrame, str, Colum
 
 def subset(tables: dict[str, DataFrame], column: str, values: list[str], keep_others: bool, include: list[str] = ("*",), exclude: list[str] = ()) -> dict[str, DataFrame]:
     """Rows whose filter column, as text, is among the values; tables without the column are kept whole or not at all."""
-    from fnmatch import fnmatch
 
     out = {}
     for name, df in tables.items():
@@ -200,3 +201,31 @@ def cast_inferred(df: DataFrame, types: dict[str, str]) -> DataFrame:
         return v.try_cast(kind)
 
     return df.select(*(one(c, types[c]).alias(c) if c in types else F.col(c) for c in df.columns))
+
+
+def schema_difference(df: DataFrame, wanted: list[str]) -> list[tuple[str, str]]:
+    """(``missing`` or ``extra``, column) of a table against the columns that a destination should have, by name."""
+    have = set(df.columns)
+    return [("missing", c) for c in sorted(set(wanted) - have)] + [("extra", c) for c in sorted(have - set(wanted))]
+
+
+def readable_columns(df: DataFrame, lengths: dict[str, int], most: int, scrubbed: set[str] = frozenset()) -> DataFrame:
+    """The table without texts that may be longer than ``most`` characters and without texts that are scrubbed."""
+    return df.select([c for c in df.columns if lengths.get(c, 0) <= most and c not in scrubbed])
+
+
+def matching_fields(tables: dict[str, DataFrame], allow: list[str], deny: list[str] = ()) -> list[str]:
+    """``table.column`` names that match a pattern of ``allow`` and none of ``deny``; * and ? as in a shell."""
+    names = [f"{t}.{c}" for t, df in tables.items() for c in df.columns]
+    return [n for n in names if any(fnmatch(n, p) for p in allow) and not any(fnmatch(n, p) for p in deny)]
+
+
+def catalogue(tables: dict[str, DataFrame], keys: dict[str, list[str]] | None = None) -> list[tuple[str, int, int]]:
+    """Table, number of columns and number of indexed (key) columns of each table."""
+    return [(t, len(df.columns), len((keys or {}).get(t, []))) for t, df in tables.items()]
+
+
+def record_wise(df: DataFrame, key: str) -> DataFrame:
+    """A row per field of each record: the key, field and value as text; nulls are rows, too."""
+    pairs = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in df.columns]
+    return df.select(key, F.explode(F.array(*pairs)).alias("x")).select(key, "x.field", "x.value")

@@ -133,6 +133,13 @@ class Dictionary:
             out.append(f"ids of several types: {sorted(kinds)}")
         return list(dict.fromkeys(out))
 
+    def id_types(self, tables: dict[str, DataFrame]) -> list[tuple[str, str, bool]]:
+        """Field, type and compatibility of every id column: whether it can be joined with the first that defines patients, as numbers or as texts."""
+        family = lambda kind: "text" if kind in ("string", "varchar", "char") else "integer" if kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal") and kind.endswith(",0)") else kind
+        ids = [(f"{r.table}.{r.column}", tables[r.table].schema[r.column].dataType.simpleString(), r.defines) for r in self.rules if (r.pid or r.third_party_pid) and r.table in tables]
+        first = next((family(kind) for _, kind, defines in ids if defines), family(ids[0][1]) if ids else "")
+        return [(field, kind, family(kind) == first) for field, kind, _ in ids]
+
     def summary(self) -> list[dict]:
         return [{"table": t, "columns": len(self.of(t)), "omitted": sum(r.omit for r in self.of(t)), "has_pid": bool(self.one(t, "pid")), "has_mpid": bool(self.one(t, "mpid")), "pk": (self.one(t, "pk") or Rule("", "")).column, "scrubbed": sum("scrub" in r.alter for r in self.of(t)), "scrub_sources": sum(bool(r.scrub_source) for r in self.of(t))} for t in self.tables()]
 
@@ -175,6 +182,51 @@ class DraftSettings:
     suffix: str = ""
 
 
+def is_text(kind: T.DataType, length: int | None = None, least: int = 0) -> bool:
+    """Whether a column is textual and may hold at least ``least`` characters; of unknown length it may."""
+    return isinstance(kind, T.StringType) and (length is None or length >= least)
+
+
+#: What columns of common record systems mean, by the pattern of their names: note and settings of the draft that they call for.
+RECORD_SYSTEM_HINTS = (
+    ("idpatient|patientid|clientid|patient_id|client_id", "patient number of the source system", "pid"),
+    ("nhs*num*|nhsnum*|*nhs_number", "national number: a master id", "mpid"),
+    ("rowidentifier|row_id|sequenceid|*_pk", "row number: a key", "pk"),
+    ("*forename*|*firstname*|*surname*|*lastname*|*givenname*|*familyname*|*middlename*", "a name of the patient", "patient"),
+    ("*addressline*|*houseno*|*nameofroad*|*postcode*|*full_address*", "an address of the patient", "patient"),
+    ("*telephone*|*mobile*|*email*", "a way to reach the patient", "patient"),
+    ("*nextofkin*|*carername*|*relationname*|*gpname*", "someone else's name", "third_party"),
+    ("*freetext*|*notes|*note|*narrative*|*comment*", "free text", "scrub"),
+    ("idorganisation|idprofile*|*staffid*|idstaff*", "who wrote it: of no use to research", "omit"),
+)
+
+
+def hints(table: str, column: str) -> list[tuple[str, str]]:
+    """(note, what it calls for) of a column of a record system, by its name."""
+    name = column.lower()
+    return [(note, use) for patterns, note, use in RECORD_SYSTEM_HINTS if any(fnmatch(name, p) for p in patterns.split("|"))]
+
+
+def annotated(tables: dict[str, DataFrame], settings: DraftSettings | None = None) -> tuple[Dictionary, list[tuple[str, str]]]:
+    """A draft in which the hints of record systems are followed, and (field, note) of each column that has one."""
+    drafted, notes, rules = draft(tables, settings or DraftSettings()), [], []
+    for r in drafted.rules:
+        values = {f.name: getattr(r, f.name) for f in fields(r)}
+        for note, use in hints(r.table, r.column):
+            notes.append((f"{r.table}.{r.column}", note))
+            if use in ("pid", "mpid", "pk"):
+                values |= {use: True, "alter": (), "omit": False, "scrub_source": "", "scrub_method": ""}
+                values |= {"pid": {"dest_column": "rid", "index": "normal"}, "mpid": {"dest_column": "mrid", "index": "normal"}, "pk": {"index": "unique"}}[use]
+            elif use in ("patient", "third_party"):
+                values |= {"scrub_source": use, "scrub_method": sc.WORDS if "name" in note else sc.PHRASE if "address" in note else sc.CODE, "omit": True, "alter": ()}
+            elif use == "scrub" and not values["alter"] and not values["omit"]:
+                values["alter"] = ("scrub",)
+            elif use == "omit":
+                values["omit"] = True
+        rules.append(Rule(**values))
+    return Dictionary(rules), notes
+
+
 def draft(tables: dict[str, DataFrame], settings: DraftSettings, lengths: dict[str, int] | None = None, known: Dictionary | None = None) -> Dictionary:
     """A first dictionary from the schemas; columns that ``known`` has are not drafted again."""
     have = {(r.table, r.column) for r in known.rules} if known else set()

@@ -7,9 +7,7 @@ import io
 import zipfile
 
 import pandas as pd
-import regex
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carrel.functions import strings as st
 from carrel.operators import linkage as ln
@@ -18,13 +16,14 @@ from carrel.operators import patterns as rx
 from carrel.operators import relational as rel
 from carrel.operators import scrub as sc
 from carrel.plans import etl
-from carrel.plans.dictionary import Dictionary, DraftSettings, Rule, draft
+from carrel.plans.dictionary import Dictionary, DraftSettings, Rule, annotated, draft, hints, is_text
 from carrel.queries.identity import KEYS, _dictionary
 from carrel.queries.linking import CFG, FORENAMES
 from carrel.queries.research import CATALOG
 from carrel.registry import Tables, query
 from carrel.sources import files
 from carrel.sources.workspace import put, scratch
+from carrel.streaming.requests import Queue
 
 c = F.col
 
@@ -46,15 +45,24 @@ def _zip(sheets: dict[str, pd.DataFrame]) -> bytes:
     return out.getvalue()
 
 
-@query("src_07_zip", "SELECT * FROM (VALUES ('a.txt', 1), ('b.txt', 2)) AS x(name, size)")
+@query("src_07_zip", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'a.txt' ELSE 'b.txt' END AS member, n_name AS line FROM nation")
 def _(t: Tables):
-    inner, outer = io.BytesIO(), io.BytesIO()
-    with zipfile.ZipFile(inner, "w") as z:
-        z.writestr("b.txt", "bb")
-    with zipfile.ZipFile(outer, "w") as z:
-        z.writestr("a.txt", "a")
-        z.writestr("more.zip", inner.getvalue())
-    return t.spark.createDataFrame([(n, len(b)) for n, b in files.zip_members(outer.getvalue())], "name string, size int")
+    """A zip for each row, for odd ones inside another zip."""
+    def zips(batches):
+        for b in batches:
+            rows = []
+            for k, name in zip(b["n_nationkey"], b["n_name"], strict=True):
+                inner, outer = io.BytesIO(), io.BytesIO()
+                with zipfile.ZipFile(inner, "w") as z:
+                    z.writestr("b.txt" if k % 2 else "a.txt", f"{k}|{name}")
+                if k % 2:
+                    with zipfile.ZipFile(outer, "w") as z:
+                        z.writestr("more.zip", inner.getvalue())
+                rows.append((outer if k % 2 else inner).getvalue())
+            yield pd.DataFrame({"content": rows})
+
+    lines = files.unzipped(t.nation.mapInPandas(zips, "content binary"))
+    return lines.select(F.substring_index("line", "|", 1).cast("long").alias("n_nationkey"), "member", F.substring_index("line", "|", -1).alias("line"))
 
 
 @query("src_08_auto_import", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")
@@ -73,12 +81,12 @@ def _(t: Tables):
     return files.people(t.spark, path).select("local_id", first["name"].alias("forename"), first["from"].alias("since"))
 
 
-@query("src_10_postcode_directory", "SELECT 'CB' || n_nationkey || ' 1AA' AS pcds, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey::BIGINT END AS region, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE DATE '1980-06-01' END AS introduced FROM nation")
+@query("src_10_postcode_directory", "SELECT 'CB' || n_nationkey || ' 1AA' AS pcds, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey::DOUBLE END AS imd, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE DATE '1980-06-01' END AS dointr, 'CB' || n_nationkey || '1AA' AS pcd_nospace FROM nation")
 def _(t: Tables):
-    k = c("n_nationkey")
-    raw = t.nation.select(F.concat(F.lit("CB"), k.cast("string"), F.lit(" 1AA")).alias("pcds"), F.when(k % 4 == 0, "  ").otherwise(c("n_regionkey").cast("string")).alias("region"), F.when(k % 3 == 0, "").otherwise("1980-06-01").alias("introduced"))
-    blank = lambda x: F.nullif(F.trim(x), F.lit(""))
-    return raw.select("pcds", blank(c("region")).try_cast("bigint").alias("region"), blank(c("introduced")).try_cast("date").alias("introduced"))
+    k, path = c("n_nationkey"), scratch(t.spark, "postcodes") + ".csv"
+    raw = t.nation.select(F.concat(F.lit("CB"), k.cast("string"), F.lit(" 1AA")).alias("pcds"), F.when(k % 4 == 0, "  ").otherwise(c("n_regionkey").cast("string")).alias("imd"), F.when(k % 3 == 0, "").when(k % 3 == 1, "198006").otherwise("1980-06-01").alias("dointr"))
+    raw.write.csv(path, header=True)
+    return files.postcode_directory(t.spark, path)
 
 
 @query("src_11_documents", "SELECT s_suppkey, s_name || ' & co' AS text FROM supplier WHERE s_suppkey % 3 <> 2")
@@ -118,9 +126,22 @@ def _(t: Tables):
 
 @query("snk_06_schema_check", "SELECT * FROM (VALUES ('missing', 'c_other'), ('extra', 'c_acctbal')) AS x(kind, column_name)")
 def _(t: Tables):
-    want = {"c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_other"}
-    have = set(t.customer.columns)
-    return t.spark.createDataFrame([("missing", x) for x in sorted(want - have)] + [("extra", x) for x in sorted(have - want)], "kind string, column_name string")
+    return t.spark.createDataFrame(rel.schema_difference(t.customer, ["c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_other"]), "kind string, column_name string")
+
+
+@query("snk_03_zip", "SELECT p_partkey, p_name FROM part")
+def _(t: Tables):
+    """Zipped TSV, made in the executors and read back."""
+    lines = files.unzipped(files.zipped(t.part.select("p_partkey", "p_name"), "part")).where("line NOT LIKE 'p_partkey%'")
+    return lines.select(F.substring_index("line", "\t", 1).cast("long").alias("p_partkey"), F.substring_index("line", "\t", -1).alias("p_name"))
+
+
+@query("snk_03_xlsx", "SELECT s_suppkey::BIGINT AS s_suppkey, s_name FROM supplier")
+def _(t: Tables):
+    """A workbook, read back with its types inferred."""
+    path = scratch(t.spark, "export") + ".xlsx"
+    put(t.spark, path, files.xlsx({"supplier": t.supplier.select("s_suppkey", "s_name")}))
+    return files.auto_import(t.spark, path)["supplier"]
 
 
 @query("snk_07_unique_index", "SELECT 'customer' AS table_name, TRUE AS is_unique UNION ALL SELECT 'lineitem', FALSE")
@@ -134,18 +155,13 @@ def _(t: Tables):
 @query("flt_12_13_text_columns", "SELECT p_partkey, p_brand FROM part")
 def _(t: Tables):
     """Drops texts longer than a limit, and texts that are scrubbed."""
-    lengths, scrubbed, limit = {"p_name": 55, "p_type": 300, "p_brand": 10}, {"p_name"}, 100
-    keep = [x for x in t.part.columns if lengths.get(x, 0) <= limit and x not in scrubbed]
-    return t.part.select(keep).drop("p_size", "p_retailprice")
+    return rel.readable_columns(t.part, {"p_name": 55, "p_type": 300, "p_brand": 10}, 100, {"p_name"}).drop("p_size", "p_retailprice")
 
 
 @query("flt_16_patterns", "SELECT * FROM (VALUES ('orders.o_orderdate'), ('orders.o_orderkey'), ('orders.o_orderpriority')) AS x(field)")
 def _(t: Tables):
-    from fnmatch import fnmatch
-
-    allow, deny = ["orders.*order*", "nation.*"], ["*.o_orderstatus", "nation.*"]
-    fields = [f"{n}.{x}" for n in ("orders", "nation") for x in getattr(t, n).columns]
-    return t.spark.createDataFrame([(f,) for f in fields if any(fnmatch(f, p) for p in allow) and not any(fnmatch(f, p) for p in deny)], "field string")
+    fields = rel.matching_fields({"orders": t.orders, "nation": t.nation}, ["orders.*order*", "nation.*"], ["*.o_orderstatus", "nation.*"])
+    return t.spark.createDataFrame([(f,) for f in fields], "field string")
 
 
 @query("flt_22_dictionary_rows", "SELECT * FROM (VALUES ('customer.c_custkey', FALSE), ('customer.c_mktsegment', TRUE), ('customer.c_name', TRUE), ('customer.c_optout', TRUE)) AS x(field, omitted)")
@@ -159,15 +175,19 @@ def _(t: Tables):
     return t.orders.where("o_orderstatus = 'P'").select(["o_orderkey", "o_totalprice"])
 
 
-@query("type_02_03_checks", "SELECT * FROM (VALUES ('c_custkey', FALSE, 'bigint'), ('c_name', TRUE, 'string')) AS x(column_name, textual, kind)")
+@query("type_02_03_checks", "SELECT * FROM (VALUES ('customer.c_custkey', 'bigint', TRUE, FALSE), ('orders.o_custkey', 'bigint', TRUE, FALSE), ('customer.c_name', 'string', FALSE, TRUE)) AS x(field, kind, joins, textual)")
 def _(t: Tables):
-    fields = [f for f in t.customer.schema.fields if f.name in ("c_custkey", "c_name")]
-    return t.spark.createDataFrame([(f.name, isinstance(f.dataType, T.StringType), f.dataType.simpleString()) for f in fields], "column_name string, textual boolean, kind string")
+    """Which id columns can be joined with the one that defines patients, and which are texts."""
+    d = Dictionary([Rule("customer", "c_custkey", pid=True, defines=True), Rule("orders", "o_custkey", pid=True), Rule("customer", "c_name", third_party_pid=True)])
+    tables = {"customer": t.customer, "orders": t.orders}
+    rows = [(f, k, j, is_text(tables[f.split(".")[0]].schema[f.split(".")[1]].dataType, 25, 20)) for f, k, j in d.id_types(tables)]
+    return t.spark.createDataFrame(rows, "field string, kind string, joins boolean, textual boolean")
 
 
-@query("agg_13_catalogue", "SELECT * FROM (VALUES ('customer', 5), ('nation', 3), ('region', 2)) AS x(table_name, n_columns)")
+@query("agg_13_catalogue", "SELECT * FROM (VALUES ('customer', 5, 1), ('nation', 3, 2), ('region', 2, 0)) AS x(table_name, n_columns, n_keys)")
 def _(t: Tables):
-    return t.spark.createDataFrame([(n, len(getattr(t, n).columns)) for n in ("customer", "nation", "region")], "table_name string, n_columns int")
+    rows = rel.catalogue({n: getattr(t, n) for n in ("customer", "nation", "region")}, {"customer": ["c_custkey"], "nation": ["n_nationkey", "n_regionkey"]})
+    return t.spark.createDataFrame(rows, "table_name string, n_columns int, n_keys int")
 
 
 @query("qb_02_inference", "SELECT * FROM (VALUES ('q_record', 'q_patient', 1), ('q_record', 'q_event', 1), ('q_record', 'q_other_line', 3), ('q_record', 'q_record', 0)) AS x(a, b, n_joins)")
@@ -185,39 +205,50 @@ def _(t: Tables):
 
 @query("qb_12_record_wise", "SELECT r_regionkey, unnest(['r_regionkey', 'r_name']) AS field, unnest([r_regionkey::VARCHAR, r_name]) AS value FROM region")
 def _(t: Tables):
-    return t.region.select("r_regionkey", F.explode(F.array(*(F.struct(F.lit(x).alias("field"), c(x).cast("string").alias("value")) for x in t.region.columns))).alias("x")).select("r_regionkey", "x.field", "x.value")
+    return rel.record_wise(t.region, "r_regionkey")
 
 
 # Patterns
 
-def _found(t: Tables, pattern, texts: list[str]):
-    return t.spark.createDataFrame([(x, (m[0] if (m := pattern.search(x)) else None)) for x in texts], "text string, found string")
+def _rows(pairs: list[tuple[str, str | None]]) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in pairs) + ") AS x(text, found)"
 
 
-def _rows(pairs: list[tuple[str, str | None]]) -> str:
-    q = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({q(a)}, {q(b)})" for a, b in pairs) + ") AS x(text, found)"
+def _quoted(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _by_part(pairs: list[tuple[str, str | None]]) -> str:
+    """For each row of part the result of its text, which is one of the pairs' texts with the part's name behind it."""
+    cases = " ".join(f"WHEN {i} THEN {_quoted(b)}" for i, (_, b) in enumerate(pairs))
+    return f"SELECT p_partkey, CASE p_partkey % {len(pairs)} {cases} END AS found FROM part"
+
+
+def _texts(t: Tables, texts: list[str], behind: bool = True):
+    k, text = c("p_partkey"), F.get(F.lit(texts).cast("array<string>"), (c("p_partkey") % len(texts)).cast("int"))
+    return t.part.select(k, (F.concat(text, F.lit(" of "), c("p_name")) if behind else text).alias("text"))
 
 
 _RX = {
-    "rx_01_date": (lambda: rx.compiled([rx.date(datetime.date(1980, 2, 7))]), [("on 7 Feb 1980.", "7 Feb 1980"), ("07/02/80", "07/02/80"), ("1980-2-07", "1980-2-07"), ("17/02/80", None), ("8 Feb 1980", None)]),
-    "rx_02_any_date": (lambda: rx.compiled([rx.any_date()]), [("seen 3rd September 2010", "3rd September 2010"), ("20130102", "20130102"), ("12 34", None), ("2012-05-07x", None)]),
-    "rx_03_code": (lambda: rx.compiled([rx.code("AB/12")]), [("ref ab-1 2;", "ab-1 2"), ("xAB12", None)]),
-    "rx_04_digits": (lambda: rx.compiled([rx.n_digits(10)]), [("no 123 456 7890 here", "123 456 7890"), ("12345678901", None)]),
-    "rx_05_postcode": (lambda: rx.compiled([rx.postcode()]), [("at cb2 3eb now", "cb2 3eb"), ("CB23EBX", None)]),
-    "rx_06_typos": (lambda: rx.compiled([rx.words("Smith", ("s",), 1)]), [("Smyths", "Smyths"), ("Smythe", None)]),
-    "rx_07_phrase": (lambda: rx.compiled([rx.phrase("5 High Street", [["Street", "St", "Road"]])]), [("at 5, high  st", "5, high  st"), ("5 High Lane", None)]),
-    "rx_08_email": (lambda: rx.compiled([rx.email()]), [("to a.b+c@x-y.org, or", "a.b+c@x-y.org"), ("a@b", None)]),
-    "rx_09_extra": (lambda: regex.compile("X[0-9]+", rx.FLAGS), [("see x12", "x12"), ("x", None)]),
+    "rx_01_date": (lambda: rx.date(datetime.date(1980, 2, 7)), [("on 7 Feb 1980.", "7 Feb 1980"), ("07/02/80", "07/02/80"), ("1980-2-07", "1980-2-07"), ("17/02/80", None), ("8 Feb 1980", None)]),
+    "rx_02_any_date": (lambda: rx.any_date(), [("seen 3rd September 2010", "3rd September 2010"), ("20130102", "20130102"), ("12 34", None), ("2012-05-07x", None)]),
+    "rx_03_code": (lambda: rx.code("AB/12"), [("ref ab-1 2;", "ab-1 2"), ("xAB12", None)]),
+    "rx_04_digits": (lambda: rx.n_digits(10), [("no 123 456 7890 here", "123 456 7890"), ("12345678901", None)]),
+    "rx_05_postcode": (lambda: rx.postcode(), [("at cb2 3eb now", "cb2 3eb"), ("CB23EBX", None)]),
+    "rx_06_typos": (lambda: rx.words("Smith", ("s",), 1), [("Smyths", "Smyths"), ("Smythe", None)]),
+    "rx_07_phrase": (lambda: rx.phrase("5 High Street", [["Street", "St", "Road"]]), [("at 5, high  st", "5, high  st"), ("5 High Lane", None)]),
+    "rx_08_email": (lambda: rx.email(), [("to a.b+c@x-y.org, or", "a.b+c@x-y.org"), ("a@b", None)]),
+    "rx_09_extra": (lambda: "X[0-9]+", [("see x12", "x12"), ("x", None)]),
 }
 
 
 def _register(name: str) -> None:
     make, pairs = _RX[name]
 
-    @query(name, _rows(pairs))
+    @query(name, _by_part(pairs))
     def _(t: Tables):
-        return _found(t, make(), [a for a, _ in pairs])
+        d = _texts(t, [a for a, _ in pairs])
+        return d.select("p_partkey", rx.found(c("text"), [make()]).alias("found"))
 
 
 for _name in _RX:
@@ -229,23 +260,24 @@ def _(t: Tables):
     return t.spark.createDataFrame([("a.b c", st.escape("a.b c")), ("Sept", st.first_letters("Sept", 3))], "text string, found string")
 
 
-@query("str_07_09_ascii", _rows([("Straße Clérambault", "STRASSECLERAMBAULT"), ("d'Œuvre-Ångström", "DUVREANGSTROM")]))
+@query("str_07_09_ascii", "SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'STRASSECLERAMBAULT' ELSE 'DUVREANGSTROM' END AS found FROM part")
 def _(t: Tables):
-    return t.spark.createDataFrame([(x, st.standard_name(x)) for x in ("Straße Clérambault", "d'Œuvre-Ångström")], "text string, found string")
+    d = _texts(t, ["Straße Clérambault", "d'Œuvre-Ångström"], behind=False)
+    return d.select("p_partkey", F.udf(st.standard_name, "string", useArrow=True)("text").alias("found"))
 
 
 @query("str_16_perfect_ids", "SELECT c_custkey, 'nhs' AS k, 'A' || c_custkey AS v FROM customer")
 def _(t: Tables):
-    kv = F.concat(F.lit("NHS:a"), c("c_custkey").cast("string"))
-    return t.customer.select("c_custkey", F.lower(F.substring_index(kv, ":", 1)).alias("k"), F.upper(F.substring_index(kv, ":", -1)).alias("v"))
+    k, v = st.perfect_id(F.concat(F.lit("NHS : a"), c("c_custkey").cast("string")))
+    return t.customer.select("c_custkey", k.alias("k"), v.alias("v"))
 
 
 # Scrubbers
 
-@query("scr_02_flexible_words", _rows([("In New   York now", "In [~~~] now"), ("newyork", "newyork")]))
+@query("scr_02_flexible_words", "SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'In [~~~] now of ' ELSE 'newyork of ' END || p_name AS found FROM part")
 def _(t: Tables):
     w = sc.WordList(["new york"], flexible=True)
-    return t.spark.createDataFrame([(x, w.scrub(x)) for x in ("In New   York now", "newyork")], "text string, found string")
+    return _texts(t, ["In New   York now", "newyork"]).select("p_partkey", F.udf(w.scrub, "string", useArrow=True)("text").alias("found"))
 
 
 @query("scr_08_order", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '[__PPP__] at [~~~]' ELSE '[~~~] at [~~~]' END AS note FROM customer")
@@ -266,15 +298,20 @@ def _(t: Tables):
 
 # Notes
 
-@query("nlp_05_validators", "SELECT * FROM (VALUES ('CRP', 3), ('MMSE', 1), ('BP', 2)) AS x(processor, n)")
+@query("nlp_05_validators", "SELECT p_partkey, unnest(['CRP', 'MMSE', 'BP']) AS processor, unnest([3, 1, 2]) AS n FROM part")
 def _(t: Tables):
-    text = "CRP up. CRP 5; c-reactive protein low. MMSE poor. BP high, blood pressure 120/80."
-    return t.spark.createDataFrame([(p, len(list(nlp.PROCESSORS[p].mentions(text)))) for p in ("CRP", "MMSE", "BP")], "processor string, n int")
+    note = F.concat(F.lit("CRP up. CRP "), c("p_size").cast("string"), F.lit("; c-reactive protein low. MMSE poor. BP high, blood pressure 120/80. "), c("p_name"))
+
+    def named(batches):
+        for b in batches:
+            yield pd.DataFrame([(k, p, len(list(nlp.PROCESSORS[p].mentions(x)))) for k, x in zip(b["p_partkey"], b["note"], strict=True) for p in ("CRP", "MMSE", "BP")], columns=["p_partkey", "processor", "n"])
+
+    return t.part.select("p_partkey", note.alias("note")).mapInPandas(named, "p_partkey long, processor string, n int")
 
 
-@query("nlp_06_numbers", "SELECT * FROM (VALUES ('1,234.5', 1234.5::DOUBLE), ('−3', -3::DOUBLE), ('–2.5', -2.5::DOUBLE), ('x', NULL)) AS x(text, value)")
+@query("nlp_06_numbers", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1234.5 WHEN 1 THEN -3.0 WHEN 2 THEN -2.5 END::DOUBLE AS value FROM part")
 def _(t: Tables):
-    return t.spark.createDataFrame([(x, nlp.to_float(x)) for x in ("1,234.5", "−3", "–2.5", "x")], "text string, value double")
+    return _texts(t, ["1,234.5", "−3", "–2.5", "x"], behind=False).select("p_partkey", F.udf(nlp.to_float, "double", useArrow=True)("text").alias("value"))
 
 
 @query("nlp_08_read_names", "SELECT p_partkey AS pk, p_size::DOUBLE AS value FROM part")
@@ -302,9 +339,19 @@ def _(t: Tables):
     return t.customer.select("c_custkey", ln.gender_score(a, b, CFG).isNull().alias("unknown"))
 
 
-@query("lnk_14_sample_size", "SELECT (SELECT count(*) FROM customer) > 852523 AS too_large")
+@query("lnk_14_sample_size", "SELECT (SELECT count(*) FROM customer) > 1000 AS refused, (SELECT count(*) FROM customer) > 852523 AS refused_by_default")
 def _(t: Tables):
-    return t.customer.agg((F.count("*") > CFG.population).alias("too_large"))
+    """link() refuses a sample that is larger than the population."""
+    people = t.customer.select(c("c_custkey").alias("id"))
+
+    def refused(population: int) -> bool:
+        try:
+            ln.check_sizes(people, ln.Config(population=population))
+        except ValueError:
+            return True
+        return False
+
+    return t.spark.createDataFrame([(refused(1000), refused(CFG.population))], "refused boolean, refused_by_default boolean")
 
 
 @query("lnk_15_mutated")
@@ -343,10 +390,37 @@ def _(t: Tables):
     return t.spark.createDataFrame([(f"{r.table}.{r.column}",) for r in more.rules], "field string")
 
 
-@query("inc_08_request_queue", "SELECT event_id, user_id % 3 AS worker, event_type AS result FROM events WHERE event_type <> 'error'")
+@query("inc_08_request_queue", "SELECT c_custkey::VARCHAR AS request_id, upper(c_name) AS result FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 2 = 0")
+def _(t: Tables):
+    """Requests of two clients are put, some are deleted before the work and some after; one client fetches what is left."""
+    q = Queue(t.spark, scratch(t.spark, "requests"))
+    k = c("c_custkey")
+    q.put(t.customer.select(k.alias("request_id"), (k % 2).alias("client"), c("c_name").alias("text")), "first")
+    q.delete(t.customer.where("c_custkey % 6 = 0").select(k.alias("request_id")), "early")
+    q.work(lambda d: d.select("request_id", F.upper("text").alias("result")))
+    q.delete(t.customer.where("c_custkey % 6 = 3").select(k.alias("request_id")), "late")
+    return q.fetch("0")
+
+
+@query("np_40_remote", "SELECT p_partkey AS pk, round((p_size + p_partkey % 10 / 10.0)::DOUBLE, 9) AS value FROM part")
+def _(t: Tables):
+    """Notes are sent to a processor elsewhere by an exchange folder; here the worker that answers runs the CRP processor."""
+    note = F.concat(F.lit("CRP "), c("p_size").cast("string"), F.lit("."), (c("p_partkey") % 10).cast("string"), F.lit(" mg/L"))
+    q = Queue(t.spark, scratch(t.spark, "remote"))
+    sent = nlp.remote(t.part.select("p_partkey", note.alias("note")), "p_partkey", "note", q, "crp")
+    q.work(lambda d: nlp.run(d.select(c("request_id").cast("long").alias("pk"), "text"), "pk", "text", ["CRP"]).select(c("pk").cast("string").alias("request_id"), F.to_json(F.struct("value")).alias("result")))
+    return sent("value double").select("pk", F.round("value", 9).alias("value"))
+
+
+@query("dd_07_hints", "SELECT * FROM (VALUES ('r.IDPatient', 'pid', FALSE), ('r.NHSNumber', 'mpid', FALSE), ('r.Surname', 'patient', TRUE), ('r.NextOfKinName', 'third_party', TRUE), ('r.FreeText', 'scrub', FALSE), ('r.IDProfileEnteredBy', 'omit', TRUE)) AS x(field, use, omitted)")
 def _(t: Tables):
-    """Requests are dealt to workers; what is cancelled is not worked on. The stream of it is carrel.streaming.process_stream."""
-    return t.events.where("event_type <> 'error'").select("event_id", (c("user_id") % 3).alias("worker"), c("event_type").alias("result"))
+    """What the names of a record system's columns call for, and whether the draft omits them."""
+    columns = ["IDPatient", "NHSNumber", "Surname", "NextOfKinName", "FreeText", "IDProfileEnteredBy"]
+    table = t.customer.select(*(c("c_name").alias(x) for x in columns))
+    d, notes = annotated({"r": table})
+    use = {f"r.{x}": hints("r", x)[-1][1] for x in columns}
+    omitted = {f"{r.table}.{r.column}": r.omit for r in d.rules}
+    return t.spark.createDataFrame([(f, use[f], omitted[f]) for f in dict(notes)], "field string, use string, omitted boolean")
 
 
 @query("etl_secret_map", "SELECT count(*) AS n, count(DISTINCT rid) AS n_rid, min(trid) AS least, max(trid) AS most FROM (SELECT c_custkey AS rid, row_number() OVER () AS trid FROM customer)")

@@ -196,3 +196,70 @@ def tsv_zip(tables: dict[str, DataFrame], path: str) -> None:
                 f.write(("\t".join(df.columns) + "\n").encode())
                 for row in df.toLocalIterator():
                     f.write(("\t".join("" if v is None else str(v).replace("\t", " ").replace("\n", " ") for v in row) + "\n").encode())
+
+
+def xlsx(tables: dict[str, DataFrame], most_rows: int = 1_048_575) -> bytes:
+    """Query results as a workbook, a sheet each, with a header row. A sheet has no room for more than ``most_rows``: beyond it a ValueError."""
+    sheets = {}
+    for name, df in tables.items():
+        rows = df.limit(most_rows + 1).collect()
+        if len(rows) > most_rows:
+            raise ValueError(f"{name} has more rows than a sheet holds: export it as TSV")
+        sheets[name[:31]] = [df.columns, *([v if v is None or isinstance(v, int | float) and not isinstance(v, bool) else str(v) for v in r] for r in rows)]
+    return xlsx_bytes(sheets)
+
+
+def zipped(df: DataFrame, name: str, member_rows: int = 1_000_000) -> DataFrame:
+    """member and content (the bytes of a zip with one TSV in it): a row for each partition of at most ``member_rows`` rows, made in the executors."""
+
+    def run(batches):
+        held, size, part = [], 0, 0
+
+        def packed():
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr(f"{name}.tsv", "\t".join(columns) + "\n" + "".join(held))
+            return pd.DataFrame({"member": [f"{name}-{spark_partition()}-{part}.zip"], "content": [out.getvalue()]})
+
+        for b in batches:
+            rows = b.astype(object).where(b.notna(), "").itertuples(index=False)
+            held += ["\t".join(str(v).replace("\t", " ").replace("\n", " ") for v in r) + "\n" for r in rows]
+            size += len(b)
+            if size >= member_rows:
+                yield packed()
+                held, size, part = [], 0, part + 1
+        if held:
+            yield packed()
+
+    def spark_partition() -> int:
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId()
+
+    columns = df.columns
+    return df.mapInPandas(run, "member string, content binary")
+
+
+def unzipped(zips: DataFrame) -> DataFrame:
+    """member and line of every text line in the zips of the column ``content``."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(m, line) for content in b["content"] for m, data in zip_members(bytes(content)) for line in data.decode("utf-8", "replace").splitlines()]
+            yield pd.DataFrame(rows, columns=["member", "line"])
+
+    return zips.select("content").mapInPandas(run, "member string, line string")
+
+
+#: Columns of a postcode directory that are dates and numbers; all others are texts.
+POSTCODE_DATES, POSTCODE_NUMBERS = ("dointr", "doterm"), ("oseast1m", "osnrth1m", "osgrdind", "lat", "long", "imd")
+
+
+def postcode_directory(spark: SparkSession, path: str, dates: tuple[str, ...] = POSTCODE_DATES, numbers: tuple[str, ...] = POSTCODE_NUMBERS) -> DataFrame:
+    """A postcode directory in CSV: blank values are null, dates (YYYYMM or ISO) and numbers are cast, and the compact postcode is added as ``pcd_nospace``."""
+    raw = spark.read.csv(path, header=True)
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    month = lambda c: blank(c).rlike("^[0-9]{6}$")
+    day = lambda c: F.when(month(c), F.try_to_timestamp(F.concat(blank(c), F.lit("01")), F.lit("yyyyMMdd")).cast("date")).otherwise(blank(c).try_cast("date"))
+    out = [day(c).alias(c) if c in dates else blank(c).try_cast("double").alias(c) if c in numbers else blank(c).alias(c) for c in raw.columns]
+    return raw.select(*out, F.upper(F.regexp_replace(F.col(raw.columns[0]), r"\s", "")).alias("pcd_nospace"))
