@@ -53,8 +53,10 @@ def span(df: DataFrame, by: str, start: str, end: str) -> DataFrame:
 
 
 def with_geography(df: DataFrame, postcodes: DataFrame, on: str, key: str, columns: dict[str, str], inner: bool = False) -> DataFrame:
-    """Areas by postcode; the left form keeps the number of rows, which ``same_rows`` can check."""
-    t = postcodes.dropDuplicates([key]).select(F.col(key).alias("_key"), *(F.col(c).alias(a) for c, a in columns.items()))
+    """Areas by postcode; the left form keeps the number of rows, which ``same_rows`` can check. Of rows with one postcode the least areas count, nulls last."""
+    areas = [F.col(c).alias(a) for c, a in columns.items()]
+    least = F.min(F.struct(*(x for c, a in columns.items() for x in (F.col(c).isNull().alias(f"_{a}"), F.col(c).alias(a))))) if areas else None
+    t = postcodes.groupBy(F.col(key).alias("_key")).agg(least.alias("_x")).select("_key", *(F.col(f"_x.{a}").alias(a) for a in columns.values())) if areas else postcodes.select(F.col(key).alias("_key")).distinct()
     return df.join(t, F.col(on) == F.col("_key"), "inner" if inner else "left").drop("_key")
 
 

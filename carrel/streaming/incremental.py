@@ -29,12 +29,12 @@ def process_stream(spark: SparkSession, folder: str, schema: str, pk: str, key:
 
 
 def _done(spark: SparkSession, dest: str, number: int) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(dest).where(F.col("batch") < number)
-    except AnalysisException:
+    """What earlier batches have written; None before the first. Anything else that is wrong with the destination is an error."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(dest)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path) or not any(s.getPath().getName().startswith("batch=") for s in fs.listStatus(path)):
         return None
+    return spark.read.parquet(dest).where(F.col("batch") < number)
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", kind: str = "event_type", length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
