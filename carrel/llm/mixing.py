@@ -44,28 +44,34 @@ def targets(sizes: DataFrame, weights=WEIGHTS, tilts=TILTS, most: int = MOST) ->
     return s.select("source", "source_size", F.round(target, 6).alias("target"), "tilt")
 
 
+def _digits(rows: int) -> int:
+    """Hex digits of a bucket's name: about 2^18 rows a bucket, whatever the input."""
+    return max(3, -(-((max(rows, 1) - 1) >> 18).bit_length() // 4))
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, most: int = MOST, keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, position, copies, parts.
 
-    ``size`` counts words, 0 for a null text. A source's documents stand in the order of the md5 of their id;
+    ``size`` counts words, 0 for a null text. A source's documents stand in the order of the md5 of their id (without one: of their text);
     the mix reads that order again and again until floor(target) words are taken, so the source's sum of
     ``taken`` is floor(target), at most one document per source is taken in part, and none exceeds
     ``most`` times its size. ``copies`` is the number of times that the document occurs, the last of them perhaps
     in part; ``position`` is the training time of its first occurrence, null if it is not taken; ``parts`` has words and position of each.
 
-    The running sum over a source is taken in 4096 buckets of that order: sums of buckets first, then a window inside
+    The running sum over a source is taken in buckets of that order, 4096 or more by the number of rows: sums of buckets first, then a window inside
     each bucket, so a source that holds a third of all rows is not one task. Null sources are one source, the last.
-    Rows that share a doc_id are separate documents. An empty table gives no rows. With ``keep``, names
+    Rows that share a doc_id are separate documents, in the order of their size and text. An empty table gives no rows. With ``keep``, names
     of input columns, the result has these columns and parts alone.
     """
     keep = keep or []
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    d = d.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("order", 1, 3))
+    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), "text", F.xxhash64("text").alias("tie"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    unnamed = F.concat(F.lit("null"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
+    d = d.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), unnamed).cast("binary"))).withColumn("bucket", F.substring("order", 1, _digits(docs.count()))).drop("text")
     buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     aim = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, tilts, most)
     starts = buckets.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size"))
     starts = starts.alias("b").join(aim.alias("a"), F.col("b.source").eqNullSafe(F.col("a.source"))).select("b.source", "bucket", "before", "source_size", "target", "tilt")
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size")
+    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", "tie")
     d = d.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     d = d.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))).drop(F.col("s.source"), F.col("s.bucket"))
     at, quota = F.col("before") + F.col("within"), F.floor("target")
@@ -105,7 +111,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 #: The same rows in SQL.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'null' || coalesce(md5(text), ''))) AS o FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, [5.0, 2.0, 1.0][1 + rank % 3]::DOUBLE AS weight, [0.5, 0.0, -0.5][1 + rank % 3]::DOUBLE AS tilt, (3 * source_size)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
 l AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps_before, sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_from FROM w),

@@ -71,3 +71,16 @@ def test_oddities(spark, docs, empty):
     assert sorted(map(str, out.collect())) == sorted(map(str, mx.mix(docs.repartition(5)).collect()))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rows_without_id_and_ties(spark):
+    """Rows without id are dealt by their texts; rows of one id and size have an order, so reruns take the same texts."""
+    rows = [(None, f"text {i} of a row without id", "a") for i in range(60)] + [(7, f"{w} same size", "b") for w in ("one", "two", "three", "four")] + [(8, "x " * 40, "c")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    once, again = (sorted(map(str, mx.mixed_documents(x).collect())) for x in (d, d.repartition(7)))
+    assert once == again
+    assert mx.mix(d).where("doc_id IS NULL").count() == 60
+
+
+def test_buckets_follow_the_rows():
+    assert [mx._digits(n) for n in (0, 1 << 18, 1 << 30, 1 << 36, 10**11)] == [3, 3, 3, 5, 5]
