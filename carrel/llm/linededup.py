@@ -99,16 +99,18 @@ def _fits(docs: DataFrame, lines: DataFrame) -> DataFrame:
     a, b = F.split("line", " ", -1), F.split("first", " ", -1)
     agree = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != "<*>"), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     fits = spread_join(kinds, first, ["key"], wide=F.octet_length("first")).where((F.size(a) == F.size(b)) & (agree >= need(F.size(a)))).select("key", *named)
-    return stored(fits, "fits")
+    return stored(fits, "fits", keep=True)
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(WORD), F.lit(0))
+    """Words of a text, A-Z lower-cased, by the white space of ``WORD``; without a pattern, which would take most of the time."""
+    plain = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
+    return F.array_remove(F.split(plain, " ", -1), "")
 
 
 def _starts(words: Column) -> Column:
-    """Where the shingles of a text of at least ``SHINGLE`` words start."""
-    return F.sequence(F.lit(1), F.size(words) - SHINGLE + 1)
+    """Where the shingles of a text start."""
+    return F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1)))
 
 
 def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame:
@@ -120,10 +122,11 @@ def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), t1.alias("t1"), t2.alias("t2"), F.col("text").cast("string").alias("text"))
     texts = spread_join(texts, suspects.withColumn("rows", F.lit(1)), ["t1", "t2", "id"])
     # A column for each step: what stands in a lambda is worked out for each element.
-    marks = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words")).where(F.size("words") >= LEAST)
+    marks = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words"))
     marks = marks.withColumn("at", F.filter(_starts(F.col("words")), lambda i: F.length(F.get("words", i - 1)) % SAMPLE == 0))
     marks = marks.withColumn("md5", F.transform("at", lambda i: F.md5(F.array_join(F.slice("words", i, SHINGLE), " ").cast("binary")))).withColumn("back", F.transform("md5", F.reverse))
-    marks = stored(marks.select("t1", "t2", "id", F.array(F.array_min("md5"), F.array_max("md5"), F.array_min("back"), F.array_max("back")).alias("m")), "marks")
+    marks = marks.select("t1", "t2", "id", F.size("words").alias("n"), F.array(F.array_min("md5"), F.array_max("md5"), F.array_min("back"), F.array_max("back")).alias("m"))
+    marks = stored(marks, "marks").where(F.col("n") >= LEAST)
     at = marks.select("t1", "t2", "id", F.posexplode("m").alias("k", "m")).where("m IS NOT NULL")
     rep = at.groupBy("k", "m").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
     pairs = spread_join(at, rep, ["k", "m"]).where("rep < id").select("t1", "t2", "rep").distinct()
@@ -137,8 +140,9 @@ def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame
     texts = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words"), F.array_distinct(_words(own)).alias("own"))
     sets = F.array_distinct(F.transform(_starts(F.col("words")), lambda i: F.xxhash64(F.slice("words", i, SHINGLE))))
     texts = stored(texts.select("t1", "t2", "id", sets.alias("s"), "own"), "paired")
+    # Both sides grow with the input, so the join is one by shuffle at any size.
     of = pairs.select("rep", "turn").distinct().join(texts.select(F.col("id").alias("rep"), F.col("s").alias("s_rep"), F.col("own").alias("own_rep")), "rep")
-    both = pairs.join(texts.select("t1", "t2", "s", "own"), ["t1", "t2"]).join(of, ["rep", "turn"])
+    both = pairs.join(texts.select("t1", "t2", "s", "own").hint("merge"), ["t1", "t2"]).join(of.hint("merge"), ["rep", "turn"])
     both = both.select("t1", "t2", "rep", F.size(F.array_intersect("s", "s_rep")).alias("same"), (F.size("s") + F.size("s_rep")).alias("total"), F.size(F.array_intersect("own", "own_rep")).alias("rest"), F.least(F.size("own"), F.size("own_rep")).alias("least"))
     near = both.where(f"100 * same >= {NEAR} * (total - same) OR 100 * same >= {HALF} * (total - same) AND 2 * rest >= least").groupBy("t1", "t2").agg(F.min("rep").alias("rep"))
     near = near.join(texts.select(F.col("id").alias("rep"), F.col("t1").alias("family")).groupBy("rep").agg(F.min("family").alias("family")), "rep")
@@ -147,21 +151,23 @@ def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame
     up = near.select(F.col("t1").alias("family"), F.col("family").alias("up"))
     load = near.groupBy("family").agg(F.count("*").alias("rows"))
     again = spread_join(near, up.join(load, "family"), ["family"]).select("t1", "t2", F.col("up").alias("u"))
-    return stored(near.join(again, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("u", "family").alias("family")), "families")
+    return stored(near.join(again, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("u", "family").alias("family")), "families", keep=True)
 
 
 def recurring(docs: DataFrame, table: DataFrame) -> DataFrame:
     """doc_id, t1, t2 and pos of all lines of recurring templates. ``table``: ``line_table(docs)``."""
     lines = table.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("t1").alias("lo"), F.max("t1").alias("hi"), *(F.min(k).alias(k) for k in KEYS))
     lines = stored(lines, "distinct-lines")
-    fits = _fits(docs, lines)
+    with scope(docs.sparkSession):
+        fits = _fits(docs, lines)
     wide = fits.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("rows")).where("lo < hi").select("key", "rows")
     grouped = spread_join(fits.select("key", "h1", "h2", "c"), wide, ["key"]).select("h1", "h2", "key", "c")
     exact = lines.where("lo < hi").select("h1", "h2", F.lit(None).cast("long").alias("key"), "c")
     candidates = stored(exact.unionByName(grouped), "candidates")
     some = candidates.groupBy("h1", "h2").agg(F.max("c").alias("rows"))
     shared = stored(spread_join(table.select("doc_id", "t1", "t2", "pos", "n", "h1", "h2"), some, ["h1", "h2"]).drop("rows"), "shared-lines")
-    families = _families(docs, table, shared)
+    with scope(docs.sparkSession):
+        families = _families(docs, table, shared)
     load = shared.groupBy("t1", "t2").agg(F.count("*").alias("rows")).join(families, ["t1", "t2"])
     copies = spread_join(shared, load, ["t1", "t2"], "left").select("h1", "h2", F.coalesce("family", "t1").alias("family"))
     per_line = stored(copies.groupBy("h1", "h2").agg(F.min("family").alias("lo"), F.max("family").alias("hi")), "families-of-lines")
