@@ -99,12 +99,21 @@ def postcode_frequencies(directory: DataFrame, unit: str = "unit", area: str = "
     return units, sectors
 
 
-def shortlist(probands: DataFrame, sample: DataFrame, complete_mismatch: bool = False) -> DataFrame:
+#: Pairs that are compared for want of a date of birth at most; more are refused, since they grow as the product of two tables.
+MOST_UNBLOCKED = 10**9
+
+
+def shortlist(probands: DataFrame, sample: DataFrame, complete_mismatch: bool = False, most_unblocked: int = MOST_UNBLOCKED) -> DataFrame:
     """proband_id, candidate_id and priority of each pair to compare.
 
     Priority 1: same date of birth; 2 to 4: same month and day, year and day, year and month; 5: the candidate has none. A proband
-    without one, or any if complete mismatch is allowed, meets everyone, which is what the model says; keep such probands few.
+    without one, or any if complete mismatch is allowed, meets everyone, which is what the model says. Such pairs are counted before they are made, and more than
+    ``most_unblocked`` of them are a ValueError.
     """
+    n, n_free = sample.count(), probands.count() if complete_mismatch else probands.where("dob IS NULL").count()
+    unblocked = n_free * n + (0 if complete_mismatch else probands.where("dob IS NOT NULL").count() * sample.where("dob IS NULL").count())
+    if unblocked > most_unblocked:
+        raise ValueError(f"{unblocked} pairs without a common date of birth: complete the dates, or raise most_unblocked")
     keys = {"full": F.date_format("dob", "yyyy-MM-dd"), **blurred_keys(F.col("dob"))}
     p = probands.select(F.col("id").alias("proband_id"), F.explode(F.array(*(F.concat(F.lit(f"{i + 1}:"), k) for i, k in enumerate(keys.values())))).alias("key"))
     s = sample.select(F.col("id").alias("candidate_id"), F.explode(F.array(*(F.concat(F.lit(f"{i + 1}:"), k) for i, k in enumerate(keys.values())))).alias("key"))
