@@ -3,12 +3,14 @@
 import datetime
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from carrel import registry
 from carrel.functions import strings as st
 from carrel.operators import linkage as ln
+from carrel.operators import nlp
 from carrel.queries.linking import CFG, _people
 from tests.conftest import SMALL, same_rows
 
@@ -91,3 +93,24 @@ def test_shortlist_with_missing_dates(spark, complete_mismatch):
                 want.add((f"p{i}", f"s{j}", at))
     got = [tuple(r) for r in ln.shortlist(p, s, complete_mismatch).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_equal_notes_are_read_once(monkeypatch):
+    """Rows as note by note, for notes of none, one and several rows; each text is cut into tokens once."""
+    texts = ["CRP 5 mg/L, Na 140, K 4.1", "well, 3 days", "CRP 5 mg/L, Na 140, K 4.1", "BP 120/80", "BP 120/80", "", "well, 3 days"]
+    batch = pa.RecordBatch.from_arrays([pa.array([7, 8, None, 9, 10, 11, 12], pa.int64()), pa.array(texts)], names=["pk", "note"])
+    chosen = list(nlp.PROCESSORS.values())
+    want = [(k, p.name, f.value, f.value2, f.start) for k, x in zip(batch.column(0).to_pylist(), texts, strict=True) for p, f in nlp.parse(nlp.tokens(x), chosen)]
+    seen, cut = [], nlp.tokens
+    monkeypatch.setattr(nlp, "tokens", lambda x: seen.append(x) or cut(x))
+    monkeypatch.setattr(nlp, "PUT_OUT", 3)
+    got = [(r["pk"], r["processor"], r["value"], r["value2"], r["start"]) for b in nlp._rows(batch, chosen) for r in b.to_pylist()]
+    assert len(want) == 8 and got == want
+    assert sorted(seen) == sorted(set(texts))
+
+
+def test_many_short_notes_in_one_file_are_many_tasks(spark, tmp_path):
+    spark.range(50_000).selectExpr("id", "concat('CRP ', id % 50) AS note").coalesce(1).write.parquet(f"{tmp_path}/notes")
+    found = nlp.run(spark.read.parquet(f"{tmp_path}/notes"), "id", "note", ["CRP"])
+    parts = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) >= 3 and sum(r["count"] for r in parts) == 50_000
