@@ -64,16 +64,18 @@ def mixed(docs: DataFrame, weights=WEIGHTS, tilts=TILTS, most: int = MOST, keep:
     of input columns, the result has these columns and parts alone.
     """
     keep = keep or []
-    d = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), "text", F.xxhash64("text").alias("tie"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
+    # Equal where the sources are, never null: the join with the buckets then finds the rows where the window has dealt them, and doesn't shuffle texts again.
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias("named")
+    d = docs.select("doc_id", "source", named, word_count(F.col("text")).alias("size"), "text", F.xxhash64("text").alias("tie"), *(F.col(c).alias(f"_keep_{c}") for c in keep))
     unnamed = F.concat(F.lit("null"), F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")))
     d = d.withColumn("order", F.md5(F.coalesce(F.col("doc_id").cast("string"), unnamed).cast("binary"))).withColumn("bucket", F.substring("order", 1, _digits(docs.count()))).drop("text")
-    buckets = d.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = d.groupBy("source", "named", "bucket").agg(F.sum("size").alias("bucket_size"))
     aim = targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, tilts, most)
     starts = buckets.withColumn("before", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size"))
-    starts = starts.alias("b").join(aim.alias("a"), F.col("b.source").eqNullSafe(F.col("a.source"))).select("b.source", "bucket", "before", "source_size", "target", "tilt")
-    inside = Window.partitionBy("source", "bucket").orderBy("order", "doc_id", "size", "tie")
+    starts = starts.alias("b").join(aim.alias("a"), F.col("b.source").eqNullSafe(F.col("a.source"))).select("named", "bucket", "before", "source_size", "target", "tilt")
+    inside = Window.partitionBy("named", "bucket").orderBy("order", "doc_id", "size", "tie")
     d = d.withColumn("within", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    d = d.alias("d").join(starts.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))).drop(F.col("s.source"), F.col("s.bucket"))
+    d = d.join(starts, ["named", "bucket"])
     at, quota = F.col("before") + F.col("within"), F.floor("target")
     a = F.col("tilt")
 

@@ -84,3 +84,26 @@ def test_rows_without_id_and_ties(spark):
 
 def test_buckets_follow_the_rows():
     assert [mx._digits(n) for n in (0, 1 << 18, 1 << 30, 1 << 36, 10**11)] == [3, 3, 3, 5, 5]
+
+
+def test_texts_are_shuffled_twice(spark):
+    """Once to the windows, once to the training order: the join with the buckets leaves them where they are. Null sources meet as others do."""
+
+    def nodes(node):
+        children = node.children()
+        return [node, *(x for i in range(children.size()) for x in nodes(children.apply(i)))]
+
+    d = spark.createDataFrame([(1, "a b c", None), (2, "d e", None), (3, "f", "n"), (4, "g h", "")], "doc_id long, text string, source string")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = mx.mixed_documents(d)
+        plan = nodes(out._jdf.queryExecution().executedPlan())
+        assert sum(n.nodeName() == "Exchange" and "text" in n.output().mkString(",") for n in plan) == 2
+        sizes = {r.doc_id: r.source_size for r in mx.mix(d).collect()}
+        assert sizes == {1: 5, 2: 5, 3: 1, 4: 2}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
