@@ -90,7 +90,7 @@ BROADCAST_ROWS, HOT_ROWS = 1 << 20, 1 << 20
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", wide=None) -> DataFrame:
     """``rows`` joined with ``table``, which has one row per key and, as ``rows``, an upper bound or estimate of the key's rows on the other side.
 
-    The table is counted. Up to ``BROADCAST_ROWS`` rows (of 24 bytes; ``wide`` is a Column with the bytes of a row that has more) it is broadcast. Beyond that its hot keys alone, of ``HOT_ROWS`` rows or more, are, of which there are
+    The table is read twice, so one that takes work is ``stored`` before. It is counted. Up to ``BROADCAST_ROWS`` rows (of 24 bytes; ``wide`` is a Column with the bytes of a row that has more) it is broadcast. Beyond that its hot keys alone, of ``HOT_ROWS`` rows or more, are, of which there are
     at most as many as the input has rows over ``HOT_ROWS``; all others are shuffled, so no task reads more than about that many rows of one key.
     """
     size = table.agg(F.greatest(F.count("*"), F.coalesce(F.sum(wide) / 24, F.lit(0)))).first()[0] if wide is not None else table.limit(BROADCAST_ROWS + 1).count()

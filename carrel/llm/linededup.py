@@ -26,13 +26,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carrel.llm import common
 from carrel.llm.common import WORD, scope, spread_join, stored
 
 LEAD, BANDS, ALIKE, FIXED = 3, 4, 7, 5
 SHINGLE, LEAST, SAMPLE = 5, 20, 4
 #: Per cent of shingles in common that make a revised copy, and that do where the rest is alike.
 NEAR, HALF = 80, 50
-KEYS = ["leaf", "tail", *(f"b{k}" for k in range(BANDS))]
 #: Texts that are compared with one text in one task.
 PER_TASK = 256
 
@@ -49,53 +49,69 @@ def _two(*columns) -> list[Column]:
 def _lines(docs: DataFrame, *more: Column) -> DataFrame:
     """A row per line that is not blank: pos, n (its words) and line, with its variable fields, after the columns ``more``."""
     d = docs.select(*more, F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    d = d.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    d = d.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     masked = F.when((F.col("n") > FIXED) & F.col("line").rlike("[0-9]"), F.regexp_replace("line", "(^| )[^ 0-9]*+[0-9][^ ]*+", "$1<*>"))
     d = d.withColumn("masked", masked)
-    fields = (F.length("masked") - F.length(F.replace("masked", F.lit("<*>"), F.lit("")))) / 3
+    fields = (F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit("<*>"), F.lit("")))) / 3
     return d.withColumn("line", F.when(F.col("n") - fields >= need(F.col("n")), F.col("masked")).otherwise(F.col("line"))).drop("masked")
 
 
-def _paths(words: Column, n: Column) -> list[Column]:
-    """The leaf of a line and its groups, as hashes of their paths; null where it has no room for a variable field."""
-    lead = F.slice(words, 1, LEAD)
+def _leaf_and_tail(line: Column, n: Column) -> list[Column]:
+    """The leaf of a line, and its group with open leading words, as hashes of their paths; null where it has no room for a variable field."""
+    lead = F.substring_index(line, " ", LEAD)
+    # Bytes, which need not be counted as characters; a line of so many words has a rest.
+    rest = F.substr(line.cast("binary"), F.octet_length(lead) + 2)
+    return [F.when(n > FIXED, c).alias(k) for k, c in (("leaf", F.xxhash64(F.lit("leaf"), n, lead)), ("tail", F.xxhash64(F.lit("tail"), n, rest)))]
+
+
+def _bands(line: Column, n: Column, leaf: Column) -> Column:
+    """The groups of a line in its leaf, as hashes of their paths."""
+    words = F.split(line, " ", -1)
     cut = [(F.floor(k * (n - LEAD) / F.lit(BANDS)) + LEAD).cast("int") for k in range(BANDS + 1)]
-    bands = [F.xxhash64(F.lit(k), n, lead, F.slice(words, cut[k] + 1, cut[k + 1] - cut[k])) for k in range(BANDS)]
-    paths = [F.xxhash64(F.lit("leaf"), n, lead), F.xxhash64(F.lit("tail"), n, F.slice(words, LEAD + 1, F.greatest(n - LEAD, F.lit(1)))), *bands]
-    return [F.when(n > FIXED, c).alias(k) for c, k in zip(paths, KEYS, strict=True)]
+    return F.array(*(F.xxhash64(F.lit(k), leaf, F.slice(words, cut[k] + 1, cut[k + 1] - cut[k])) for k in range(BANDS)))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """doc_id, t1 and t2 (the text), pos, n, h1 and h2 (the line) and its groups, for each line; written to the shared folder."""
+    """doc_id, t1 and t2 (the text), pos, n, h1 and h2 (the line), leaf and tail, for each line; written to the shared folder."""
     t1, t2 = _two("text")
     rows = _lines(docs.select(F.col("doc_id").cast("long").alias("doc_id"), t1.alias("t1"), t2.alias("t2"), "text"), *(F.col(c) for c in ("doc_id", "t1", "t2")))
     h1, h2 = _two("line")
-    rows = rows.withColumn("words", F.split("line", " ", -1))
-    return stored(rows.select("doc_id", "t1", "t2", "pos", "n", h1.alias("h1"), h2.alias("h2"), *_paths(F.col("words"), F.col("n"))), "lines")
+    return stored(rows.select("doc_id", "t1", "t2", "pos", "n", h1.alias("h1"), h2.alias("h2"), *_leaf_and_tail(F.col("line"), F.col("n"))), "lines")
+
+
+def _in_company(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Of the distinct lines those that are not alone in their leaf, or not with their tail: all but the tail, n and line, and in_leaf and in_tail, which say so."""
+    several = lines.select(F.explode(F.array("leaf", "tail")).alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
+    several = stored(several, "leaves")
+    for k in ("leaf", "tail"):
+        lines = spread_join(lines, several.select(F.col("key").alias(k), F.lit(True).alias(f"in_{k}"), "rows"), [k], "left")
+    some = stored(lines.where("in_leaf OR in_tail").select("h1", "h2", "c", "lo", "hi", "leaf", "in_leaf", "in_tail", "tail"), "some-lines")
+    # A line is read from the least of its texts; others need not be cut into lines where that is cheap to tell.
+    owners = some.select(F.col("lo").alias("t1")).distinct()
+    texts = docs.select(_two("text")[0].alias("t1"), "text")
+    if owners.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(owners), "t1", "left_semi")
+    h1, h2 = _two("line")
+    read = _lines(texts.select("text")).where(F.col("n") > FIXED).select(h1.alias("h1"), h2.alias("h2"), "n", "line")
+    read = spread_join(read, some.select("h1", "h2", F.col("c").alias("rows")), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("line").alias("line"), F.first("n").alias("n"))
+    return stored(some.join(read, ["h1", "h2"]), "in-company")
 
 
 def _fits(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """h1, h2 and key of each line that belongs to the template of the group ``key``, for groups in two texts or more.
 
-    ``lines``: the distinct lines with their groups, c (how often), lo and hi (the least and the greatest of their texts).
+    ``lines``: the distinct lines with leaf and tail, c (how often), lo and hi (the least and the greatest of their texts).
     """
     named = ["h1", "h2", "c", "lo", "hi"]
-    wide = lines.where("leaf IS NOT NULL")
-    # Only lines that are not alone in their leaf are looked for in its groups.
-    several = stored(wide.select(F.explode(F.array("leaf", "tail")).alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1"), "leaves")
-    by_leaf = spread_join(wide.select(F.col("leaf").alias("key"), *named, *KEYS[2:]), several, ["key"]).select(F.explode(F.array(*KEYS[2:])).alias("key"), *named)
-    by_tail = spread_join(wide.select(F.col("tail").alias("key"), *named), several, ["key"])
-    at = stored(by_leaf.unionByName(by_tail.select("key", *named)), "paths")
+    some = _in_company(docs, lines.where("leaf IS NOT NULL"))
+    by_leaf = some.where("in_leaf").select(F.explode(_bands(F.col("line"), F.col("n"), F.col("leaf"))).alias("key"), *named)
+    at = stored(by_leaf.unionByName(some.where("in_tail").select(F.col("tail").alias("key"), *named)), "paths")
     groups = at.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bit_xor("h1").alias("all"), F.count("*").alias("kinds")).where("a < b AND lo < hi")
     # Groups of the same lines have the same template: one of them will do.
     groups = stored(groups.groupBy("a", "b", "all", "kinds").agg(F.min("key").alias("key")).select("key", F.col("kinds").alias("rows")), "groups")
     members = spread_join(at, groups, ["key"]).select("key", *named)
-    wanted = members.groupBy("h1", "h2").agg(F.max("c").alias("rows"))
-    h1, h2 = _two("line")
-    kinds = spread_join(_lines(docs.select("text")).where(F.col("n") > FIXED).select(h1.alias("h1"), h2.alias("h2"), "line"), wanted, ["h1", "h2"])
-    kinds = kinds.groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    kinds = stored(members.join(kinds, ["h1", "h2"]), "kinds")
-    first = kinds.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("rows"))
+    kinds = stored(members.join(some.select("h1", "h2", "line"), ["h1", "h2"]), "kinds")
+    first = stored(kinds.groupBy("key").agg(F.min("line").alias("first"), F.count("*").alias("rows")), "first")
     a, b = F.split("line", " ", -1), F.split("first", " ", -1)
     agree = F.aggregate(F.zip_with(a, b, lambda x, y: F.when((x == y) & (x != "<*>"), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     fits = spread_join(kinds, first, ["key"], wide=F.octet_length("first")).where((F.size(a) == F.size(b)) & (agree >= need(F.size(a)))).select("key", *named)
@@ -128,13 +144,14 @@ def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame
     marks = marks.select("t1", "t2", "id", F.size("words").alias("n"), F.array(F.array_min("md5"), F.array_max("md5"), F.array_min("back"), F.array_max("back")).alias("m"))
     marks = stored(marks, "marks").where(F.col("n") >= LEAST)
     at = marks.select("t1", "t2", "id", F.posexplode("m").alias("k", "m")).where("m IS NOT NULL")
-    rep = at.groupBy("k", "m").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = spread_join(at, rep, ["k", "m"]).where("rep < id").select("t1", "t2", "rep").distinct()
+    rep = stored(at.groupBy("k", "m").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "rep")
+    pairs = stored(spread_join(at, rep, ["k", "m"]).where("rep < id").select("t1", "t2", "rep").distinct(), "without-turns")
     # A text that stands for many is sent to as many tasks as they take.
-    turns = pairs.groupBy("rep").agg(F.count("*").alias("rows")).withColumn("turns", F.ceil(F.col("rows") / PER_TASK))
+    turns = stored(pairs.groupBy("rep").agg(F.count("*").alias("rows")).withColumn("turns", F.ceil(F.col("rows") / PER_TASK)), "turns")
     pairs = stored(spread_join(pairs, turns, ["rep"]).select("t1", "t2", "rep", F.pmod(F.xxhash64("t1"), F.col("turns")).alias("turn")), "pairs")
     # Whole texts of pairs alone are compared, each made into its set once.
     paired = pairs.select("t1", "t2").unionByName(spread_join(marks, turns.drop("turns").withColumnRenamed("rep", "id"), ["id"]).select("t1", "t2")).distinct()
+    paired = stored(paired, "of-pairs")
     texts = spread_join(texts, paired.withColumn("rows", F.lit(1)), ["t1", "t2"]).groupBy("t1", "t2", "id").agg(F.min("text").alias("text"), F.first("at").alias("at"))
     own = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("at"), i)), "\n")
     texts = texts.select("t1", "t2", "id", _words(F.col("text")).alias("words"), F.array_distinct(_words(own)).alias("own"))
@@ -150,30 +167,32 @@ def _families(docs: DataFrame, table: DataFrame, shared: DataFrame) -> DataFrame
     # The text that stands for it may itself be a revised copy.
     up = near.select(F.col("t1").alias("family"), F.col("family").alias("up"))
     load = near.groupBy("family").agg(F.count("*").alias("rows"))
-    again = spread_join(near, up.join(load, "family"), ["family"]).select("t1", "t2", F.col("up").alias("u"))
+    again = spread_join(near, stored(up.join(load, "family"), "up"), ["family"]).select("t1", "t2", F.col("up").alias("u"))
     return stored(near.join(again, ["t1", "t2"], "left").select("t1", "t2", F.coalesce("u", "family").alias("family")), "families", keep=True)
 
 
 def recurring(docs: DataFrame, table: DataFrame) -> DataFrame:
     """doc_id, t1, t2 and pos of all lines of recurring templates. ``table``: ``line_table(docs)``."""
-    lines = table.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("t1").alias("lo"), F.max("t1").alias("hi"), *(F.min(k).alias(k) for k in KEYS))
+    lines = table.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min("t1").alias("lo"), F.max("t1").alias("hi"), F.min("leaf").alias("leaf"), F.min("tail").alias("tail"))
     lines = stored(lines, "distinct-lines")
     with scope(docs.sparkSession):
         fits = _fits(docs, lines)
     wide = fits.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("c").alias("rows")).where("lo < hi").select("key", "rows")
+    wide = stored(wide, "wide")
     grouped = spread_join(fits.select("key", "h1", "h2", "c"), wide, ["key"]).select("h1", "h2", "key", "c")
     exact = lines.where("lo < hi").select("h1", "h2", F.lit(None).cast("long").alias("key"), "c")
     candidates = stored(exact.unionByName(grouped), "candidates")
-    some = candidates.groupBy("h1", "h2").agg(F.max("c").alias("rows"))
+    some = stored(candidates.groupBy("h1", "h2").agg(F.max("c").alias("rows")), "some")
     shared = stored(spread_join(table.select("doc_id", "t1", "t2", "pos", "n", "h1", "h2"), some, ["h1", "h2"]).drop("rows"), "shared-lines")
     with scope(docs.sparkSession):
         families = _families(docs, table, shared)
-    load = shared.groupBy("t1", "t2").agg(F.count("*").alias("rows")).join(families, ["t1", "t2"])
+    load = stored(shared.groupBy("t1", "t2").agg(F.count("*").alias("rows")).join(families, ["t1", "t2"]), "load")
     copies = spread_join(shared, load, ["t1", "t2"], "left").select("h1", "h2", F.coalesce("family", "t1").alias("family"))
     per_line = stored(copies.groupBy("h1", "h2").agg(F.min("family").alias("lo"), F.max("family").alias("hi")), "families-of-lines")
     held = candidates.join(per_line, ["h1", "h2"])
     found = held.where("key IS NULL AND lo < hi").select("h1", "h2", "c")
     kept = held.where("key IS NOT NULL").groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("key", "rows")
+    kept = stored(kept, "kept")
     more = spread_join(grouped, kept, ["key"]).select("h1", "h2", "c")
     drop = stored(found.unionByName(more).groupBy("h1", "h2").agg(F.max("c").alias("rows")), "recurring")
     return spread_join(shared, drop, ["h1", "h2"]).select("doc_id", "t1", "t2", "pos")
@@ -194,10 +213,11 @@ def without_recurring(docs: DataFrame) -> DataFrame:
     drop = drop.select(F.col("doc_id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_drop")
     text = F.col("text").cast("string")
     t1, t2 = _two(docs["text"])
-    d = docs.join(drop, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
+    # By hash, as whole texts need not be sorted; ``drop`` has a row for a text.
+    d = docs.join(drop.hint("shuffle_hash"), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (t1 == F.col("_t1")) & (t2 == F.col("_t2")), "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i)), "\n")
-    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    n_lines = F.when(text.isNull(), 0).otherwise(F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     out = [F.when(F.col("_drop").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns]
     return d.select(*out, n_lines.cast("int").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"))
 

@@ -1,6 +1,7 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
 from carrel.llm import linededup as ld
 
@@ -88,3 +89,14 @@ def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(common, "HOT_ROWS", 2)
     assert all(r.text == "\n".join(texts[i].split("\n")[:-1]) for i, r in cleaned(spark, texts).items())
+
+
+def test_only_lines_in_company_are_cut_into_words(spark):
+    texts = CASES["variable fields in several places"] + [own(i, 12) for i in range(100, 110)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = ld.line_table(docs)
+    assert table.columns == ["doc_id", "t1", "t2", "pos", "n", "h1", "h2", "leaf", "tail"]
+    lines = table.groupBy("h1", "h2").agg(*(f(c).alias(a) for f, c, a in ((F.count, "*", "c"), (F.min, "t1", "lo"), (F.max, "t1", "hi"), (F.min, "leaf", "leaf"), (F.min, "tail", "tail"))))
+    # The last line of each of the first documents alone shares its leaf, "Posted in the".
+    found = ld._in_company(docs, lines.where("leaf IS NOT NULL")).collect()
+    assert sorted(r.line for r in found) == sorted({t.split("\n")[1].rsplit(" ", 1)[0] + " <*>" for t in texts[:6]})
