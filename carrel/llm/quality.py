@@ -128,11 +128,18 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 600, prior: float | None = None) -> Model:
     """Fits on feature rows. Without positives or unlabelled rows the model scores every text 0.5."""
-    both = np.concatenate((positive, unlabelled)) if len(positive) + len(unlabelled) else np.zeros((1, N))
+    both = np.concatenate((positive, unlabelled)).astype(np.float64, copy=False) if len(positive) + len(unlabelled) else np.zeros((1, N))
     mean, scale = both.mean(0), both.std(0) + 1e-3
+    del both
     if not len(positive) or not len(unlabelled):
         return Model(mean, scale, np.zeros(2 * N), 0.0, 0.5)
-    one = lambda x: np.concatenate((_expand((x - mean) / scale), np.ones((len(x), 1))), axis=1).astype(np.float32)
+
+    def one(x):
+        out = np.ones((len(x), 2 * N + 1), np.float32)
+        for at in range(0, len(x), 2048):  # what is made on the way takes several times the memory
+            out[at : at + 2048, :-1] = _expand((x[at : at + 2048] - mean) / scale)
+        return out
+
     p, u = one(positive), one(unlabelled)
     pi = prior if prior is not None else estimate_prior(p, u)
 
@@ -176,8 +183,11 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text")).repartition(shuffle_partitions(docs.sparkSession), "doc_id")
     x = texts.mapInArrow(_rows("doc_id"), "doc_id long, x array<float>")
     got = x.join(F.broadcast(ids), "doc_id").orderBy("kind", "doc_id").select("kind", "x").toArrow()
-    kind, x = got.column("kind").to_numpy(), np.array(got.column("x").combine_chunks().flatten().to_numpy(), np.float64).reshape(-1, N) if got.num_rows else np.zeros((0, N))
-    return fit(x[kind == 1], x[kind == 0])
+    kind, x = got.column("kind").to_numpy(), got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N) if got.num_rows else np.zeros((0, N), np.float32)
+    positive, unlabelled = x[kind == 1], x[kind == 0]
+    del got, x
+    pa.default_memory_pool().release_unused()
+    return fit(positive, unlabelled)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -76,3 +76,15 @@ def test_fit_minimises_the_risk_as_stated():
             w[k] += step
             assert risk(w, model.bias) > least - 1e-3
     assert risk(model.weight, model.bias + 0.3) > least - 1e-3 and risk(model.weight, model.bias - 0.3) > least - 1e-3
+
+
+def test_training_takes_little_of_the_driver():
+    import tracemalloc
+
+    x = np.random.default_rng(3).gamma(2, 1, (20_000, q.N)).astype(np.float32)
+    tracemalloc.start()
+    q.fit(x[:8_000], x[8_000:], steps=1, prior=0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The rows as doubles and what their deviation takes; not one more copy for each step of the features.
+    assert peak <= 2.3 * 2 * x.nbytes
