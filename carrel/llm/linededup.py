@@ -80,7 +80,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 
 def _in_company(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Of the distinct lines those that are not alone in their leaf, or not with their tail: all but the tail, n and line, and in_leaf and in_tail, which say so."""
+    """Of the distinct ``lines`` those that are not alone in their leaf (in_leaf) or with their tail (in_tail), with n and line beside their columns."""
     several = lines.select(F.explode(F.array("leaf", "tail")).alias("key")).groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1")
     several = stored(several, "leaves")
     for k in ("leaf", "tail"):
